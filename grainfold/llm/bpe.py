@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from grainfold.llm.pieces import WordMemo
 
@@ -186,7 +187,7 @@ def slices(texts: list[str], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
 
 def encode_frame(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "bpe_ids") -> DataFrame:
     """Adds ``ids``: array of token ids of the whole text (null text: empty array)."""
-    schema = df.schema.add(ids, "array<int>")
+    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)

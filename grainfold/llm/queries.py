@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from grainfold.llm import bpe
+from grainfold.llm import bpe, chat, langid, linedup, media, tokencount, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,51 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_frame(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = linedup.drop_common_lines(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of every conversation and of conversation -7."""
+    own = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+    conv = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(conv.unionByName(spark.createDataFrame(own, conv.schema)))
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text as an 8-bit image, stored, read back and described."""
+    return media.text_media(_table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, accepted of every document."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every document."""
+    return tokencount.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from archives."""
+    return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_line_dedup": op2_line_dedup,
+    "op4_chat_format": op4_chat_format,
+    "op5_media": op5_media,
+    "op6_language_id": op6_language_id,
+    "op8_token_count": op8_token_count,
+    "op10_warc": op10_warc,
+}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": linedup.ORACLE_SQL,
+    "op4_chat_format": chat.ORACLE_SQL,
+    "op10_warc": warc.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {}
