@@ -1,10 +1,11 @@
 """Language ID by compression: the language whose dictionary makes the text smallest.
 
 Each language's dictionary is raw content: texts of a bounded sample of its
-labelled rows, one after another.  A text is compressed in blocks, each with
-every language's dictionary, so a long text keeps depending on the dictionary
-to its end; the whole text counts.  The score compares the sizes, and a text
-whose sizes lie close together is rejected.
+labelled rows, one after another.  Texts are reduced to lower-case letters with
+single spaces, so that case, digits and punctuation tell nothing.  A text is
+compressed in blocks, each with every language's dictionary, so a long text
+keeps depending on the dictionary to its end; the whole text counts.  The score
+compares the sizes, and a text whose sizes lie close together is rejected.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +27,17 @@ LEVEL, BLOCK = 6, 2048
 #: Bits of difference that count as one unit of odds.
 TEMPER = 12.0
 #: A text with a lower score is rejected.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.3
 
+#: Dictionaries by language, the language with most training rows first.
 Model = dict[str, bytes]
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+
+
+def letters(text: str) -> bytes:
+    """The text's letters in lower case, each run of anything else as one space; empty without a letter."""
+    kept = _OTHER.sub(" ", text).strip().lower()
+    return f" {kept} ".encode() if any(map(str.isalpha, kept)) else b""
 
 
 def in_training(key: str = "doc_id"):
@@ -40,6 +50,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     The sample is the same however the rows are dealt: those of least hash.
     Where no text of a language has a fitting length, its shortest ones serve.
+    All training rows are counted by language, for the order of ties.
     """
     rows = docs.where(in_training(key) & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
     size = F.length(text)
@@ -47,15 +58,16 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     rows = rows.select(F.col(lang).alias("l"), F.col(text).alias("t"), fits.alias("f"), F.xxhash64(F.col(key)).alias("h"))
     w = Window.partitionBy("l").orderBy("f", "h", "t")
     got = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= texts).select("l", F.substring("t", 1, chars[1]).alias("t"), "r").orderBy("l", "r").collect()
-    out: dict[str, list[str]] = {}
+    sizes = {x["l"]: x["count"] for x in rows.groupBy("l").count().collect()}
+    out: dict[str, list[bytes]] = {k: [] for k in sorted(sizes, key=lambda k: (-sizes[k], k))}
     for x in got:
-        out.setdefault(x["l"], []).append(x["t"])
-    return {k: "\n".join(v).encode() for k, v in sorted(out.items())}
+        out[x["l"]].append(letters(x["t"]))
+    return {k: b"".join(v) for k, v in out.items()}
 
 
 class Classifier:
     def __init__(self, model: Model):
-        self.langs = sorted(model)
+        self.langs = list(model)
         self.zs = []
         for k in self.langs:
             d = zstandard.ZstdCompressionDict(model[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -64,9 +76,9 @@ class Classifier:
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, accepted); ``und`` with score 0 for a text without a letter."""
-        if not text or not self.langs or not any(map(str.isalpha, text)):
+        b = letters(text) if text and self.langs else b""
+        if not b:
             return UNKNOWN, 0.0, False
-        b = text.encode()
         blocks = [b[i : i + BLOCK] for i in range(0, len(b), BLOCK)]
         sizes = [sum(len(z(x)) for x in blocks) for z in self.zs]
         best = min(sizes)
@@ -78,7 +90,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     """key, lang_pred, score, accepted for every row (and the columns in ``keep``); only ``text`` is looked at.
 
     A null, empty or letterless text is ``und``, score 0, not accepted; ties go
-    to the first language by name.  One row per input row.
+    to the language with most training rows.  One row per input row.
     """
     keep = keep or []
     src = docs.select(key, text, *[k for k in keep if k not in (key, text)])
