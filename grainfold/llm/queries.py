@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfold.llm import bpe, chat, langid, linedup, media, tokencount, warc
+from grainfold.llm import bpe, chat, langid, linedup, media, ngramjoin, tokencount, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    return ngramjoin.components(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from archives."""
     return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
@@ -60,10 +65,12 @@ QUERIES = {
     "op5_media": op5_media,
     "op6_language_id": op6_language_id,
     "op8_token_count": op8_token_count,
+    "op9_ngram_join": op9_ngram_join,
     "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": linedup.ORACLE_SQL,
     "op4_chat_format": chat.ORACLE_SQL,
+    "op9_ngram_join": ngramjoin.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
 }
