@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfold.llm import bpe, chat, decontam, langid, linedup, media, ngramjoin, tokencount, warc
+from grainfold.llm import bpe, chat, decontam, langid, licenses, linedup, media, ngramjoin, tokencount, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, line_no, family, probability, template_cover, confirmed of every licence notice in the documents."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document."""
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -70,6 +75,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_media": op5_media,
     "op6_language_id": op6_language_id,
+    "op7_licenses": op7_licenses,
     "op8_token_count": op8_token_count,
     "op9_ngram_join": op9_ngram_join,
     "op10_warc": op10_warc,
