@@ -31,7 +31,7 @@ def hit_tiers(now: DataFrame, cache: DataFrame, model_version: int, schema_versi
 
 def upsert(cache: DataFrame, fresh: DataFrame, keys: tuple[str, ...] = ("cache_key", "model_version")) -> DataFrame:
     """``cache`` with ``fresh`` rows in place of those of the same keys."""
-    return cache.join(fresh.select(*keys).distinct(), list(keys), "left_anti").unionByName(fresh)
+    return cache.join(fresh.select(*keys).distinct(), list(keys), "left_anti").select(cache.columns).unionByName(fresh)
 
 
 class CacheTable:
