@@ -5,14 +5,14 @@ Jaccard similarity is at least 0.8.  No link between different sets is lost:
 
 1.  One scan names each set (128 bits), sizes it, and counts shingles that occur
     again and again.  Documents of one set are one class from here on.
-2.  Shingles have one global order: those on the list of frequent ones last, by
-    count, all others first, by value.  (The list is bounded; it decides only how
-    well the order works, not which pairs are found.)  By the prefix principle
-    two linked sets share a shingle among each one's first n - ceil(0.8 n) + 1,
-    so only these are dealt out, by value; frequent ones are salted as well.
-    Streaming over the sorted rows, each set is tied to the first set that has
-    the same shingle: a star, never all pairs.  Components of the stars are
-    *families*; linked sets are of one family.
+2.  By the prefix principle, two linked sets share several of each one's first
+    1.5 p shingles by value, where p = n - ceil(0.8 n) + 1: these are dealt out by
+    value (those on a bounded list of frequent ones salted as well), and a set
+    that shares too few of them with any other set links with nothing.
+    What is left, the active sets, is ordered exactly: by how many active sets
+    hold a shingle, then by value.  Each is tied to the first active set with
+    the same shingle among its first p: a star, never all pairs.  Components of
+    the stars are *families*; linked sets are of one family.
 3.  Families are joined one by one: the sets, as ordered arrays, stand in a
     compressed prefix tree.  A set descends it once for all others, shares the
     partial overlap of every common path, and leaves a subtree that its
@@ -42,7 +42,7 @@ from grainfold.plans.workspace import Workspace
 
 #: Link where NUM * union <= DEN * intersection, that is similarity >= 0.8.
 NUM, DEN = 4, 5
-#: The list of frequent shingles: bounded in length, and what a task adds to it.
+#: The list of frequent shingles (it decides where rows go, not what is found): bounded in length, and what a task adds to it.
 FREQUENT_MOST, FREQUENT_LEAST, LOCAL_LEAST, LOCAL_MOST = 262_144, 24, 3, 65_536
 SALTS = 16
 #: Shingles of a family that one task joins, and sets that all blocks of a larger one share.
@@ -110,42 +110,19 @@ def scan(docs: DataFrame) -> DataFrame:
     return src.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-class GlobalOrder:
-    """Orders the shingles of a set: frequent ones last, by count and value; all others by value."""
+def prefix_size(n: int) -> int:
+    """Shingles of n that share one with any linked set's prefix."""
+    return n - -(-NUM * n // DEN) + 1
 
-    def __init__(self, values: np.ndarray, counts: np.ndarray):
-        by = np.argsort(values)
-        self.values, self.counts = values[by], counts[by]
-        self.marks = np.zeros(1 << 20, bool)
-        self.marks[self.values >> np.uint64(44)] = True
 
-    def frequent(self, s: np.ndarray) -> np.ndarray:
-        """The count of each shingle if it is on the list, else 0."""
-        out = np.zeros(len(s), np.int64)
-        at = np.flatnonzero(self.marks[s >> np.uint64(44)])
-        if len(at) and len(self.values):
-            k = np.minimum(np.searchsorted(self.values, s[at]), len(self.values) - 1)
-            out[at] = np.where(self.values[k] == s[at], self.counts[k], 0)
-        return out
-
-    def prefix(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(the first n - ceil(0.8 n) + 1 shingles of an ascending set, whether each is on the list)."""
-        p = len(s) - -(-NUM * len(s) // DEN) + 1
-        c = self.frequent(s)
-        if c[:p].any():
-            by = np.lexsort((s, c))[:p]
-            return s[by], c[by] > 0
-        return s[:p], np.zeros(min(p, len(s)), bool)
-
-
-def prefix_rows(docs: DataFrame, values: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(token, salt, s1) of the prefixes of all sets; a task deals out equal sets once."""
-    shared = docs.sparkSession.sparkContext.broadcast((values, counts))
+def prefix_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(token, salt, s1): the first 1.5 p shingles by value of all sets; a task deals out equal sets once."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen = GlobalOrder(*shared.value), set()
+        often, seen = shared.value, set()
         for b in batches:
-            tokens, salts, keys = [], [], []
+            tokens, keys = [], []
             for t in b.column(0).to_pylist():
                 s = shingle_set(t)
                 k = set_key(s)
@@ -153,42 +130,84 @@ def prefix_rows(docs: DataFrame, values: np.ndarray, counts: np.ndarray) -> Data
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(k)
-                p, often = order.prefix(s)
-                tokens.append(p)
-                salts.append(np.where(often, k[1] % SALTS, -1).astype(np.int8))
-                keys.append(np.full(len(p), k[0], np.int64))
+                p = prefix_size(len(s))
+                tokens.append(s[: p + p // 2])
+                keys.append(np.full(len(tokens[-1]), k[0], np.int64))
             if tokens:
-                cols = [np.concatenate(tokens).view(np.int64), np.concatenate(salts), np.concatenate(keys)]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["token", "salt", "s1"])
+                tok, key = np.concatenate(tokens), np.concatenate(keys)
+                at = np.minimum(np.searchsorted(often, tok), max(len(often) - 1, 0))
+                hot = often[at] == tok if len(often) else np.zeros(len(tok), bool)
+                salt = np.where(hot, key % SALTS, -1).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(salt), pa.array(key)], names=["token", "salt", "s1"])
 
     return docs.select("text").mapInArrow(run, "token long, salt byte, s1 long")
 
 
-def star_edges(rows: DataFrame) -> DataFrame:
-    """(src, dst): each set tied to the first set with the same shingle, over all rows of ``prefix_rows``."""
+def shared_counts(rows: DataFrame) -> DataFrame:
+    """(s1, c): how many of a set's rows have a shingle that another set has too; sorted rows stream through."""
     dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "s1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last = None  # (token, salt, s1, whether it was counted) of the row before
         for b in batches:
             if not b.num_rows:
                 continue
             tok, salt, s = (b.column(i).to_numpy() for i in range(3))
+            fresh = np.concatenate(([last is None or last[:3] != (tok[0], salt[0], s[0])], (tok[1:] != tok[:-1]) | (salt[1:] != salt[:-1]) | (s[1:] != s[:-1])))
+            tok, salt, s = tok[fresh], salt[fresh], s[fresh]  # equal sets count once
+            if not len(tok):
+                continue
             new = np.concatenate(([True], (tok[1:] != tok[:-1]) | (salt[1:] != salt[:-1])))
-            first = s[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
-            if last and last[:2] == (tok[0], salt[0]):  # the run goes on from the batch before
-                run_end = np.flatnonzero(new)[1] if new.sum() > 1 else len(s)
-                first[:run_end] = last[2]
-                new[0] = False
-            last = (tok[-1], salt[-1], first[-1])
-            tied = s != first
-            pairs = np.unique(np.stack([s[tied], first[tied]], 1), axis=0) if tied.any() else np.empty((0, 2), np.int64)
-            head = new & (salt >= 0)
-            a, c = np.concatenate((pairs[:, 0], s[head])), np.concatenate((pairs[:, 1], s[head]))
-            t = pa.array(np.concatenate((np.zeros(len(pairs), np.int64), tok[head])), mask=np.arange(len(a)) < len(pairs))
-            yield pa.RecordBatch.from_arrays([t, pa.array(a), pa.array(c)], names=["token", "src", "dst"])
-
-    return dealt.mapInArrow(run, "token long, src long, dst long")
+            run_of = np.cumsum(new) - 1
+            size = np.bincount(run_of)
+            hit = (size[run_of] > 1) | (salt >= 0)
+            out = []
+            if last is not None and last[:2] == (tok[0], salt[0]):
+                hit[run_of == 0] = True
+                if not last[3]:
+                    out.append(last[2])
+            last = (tok[-1], salt[-1], s[-1], bool(hit[-1]))
+            keys, n = np.unique(np.concatenate((s[hit], np.array(out, np.int64))), return_counts=True)
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["s1", "c"])
+
+    return dealt.mapInArrow(run, "s1 long, c long").groupBy("s1").agg(F.sum("c").alias("c"))
+
+
+def active_sets(reps: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows of ``reps`` that share enough to link: 1 + p // 2 of the smallest set that could be a partner."""
+    least_n = -F.floor(-F.col("n") * NUM / DEN)
+    need = 1 + F.floor((F.floor(least_n / DEN) + 1) / 2)
+    c = counts.withColumnRenamed("s1", "c1")
+    return reps.join(c, F.col("s1") == F.col("c1")).where(F.col("c") >= need).drop("c1", "c")
+
+
+def shingle_rows(active: DataFrame) -> DataFrame:
+    """(token, doc_id) of all shingles of active sets; a row whose text is not that of its set gives none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512).to_pylist()
+                sets = [(shingle_set(r["text"]), r) for r in part]
+                sets = [(s, r["doc_id"]) for s, r in sets if set_key(s) == (r["s1"], r["s2"])]
+                if sets:
+                    tok = np.concatenate([s for s, _ in sets]).view(np.int64)
+                    ids = np.repeat(np.array([d for _, d in sets], np.int64), [len(s) for s, _ in sets])
+                    yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(ids)], names=["token", "doc_id"])
+
+    return active.select("doc_id", "s1", "s2", "text").mapInArrow(run, "token long, doc_id long")
+
+
+def star_edges(rows: DataFrame, active: DataFrame) -> DataFrame:
+    """(src, dst): each active set tied to the least active set that has a shingle of its exact prefix in its own."""
+    held = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = rows.join(held, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("t"))
+    sized = shared.join(active.select("doc_id", "n"), "doc_id")
+    room = F.floor(F.col("n") / DEN) + 1 - (F.col("n") - F.size("t"))  # of p, less the shingles that no other set has
+    first = sized.where(room > 0).select("doc_id", F.explode(F.slice("t", F.lit(1), room.cast("int"))).alias("x")).select("doc_id", F.col("x.token").alias("token"))
+    heads = first.groupBy("token").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").select("token", "head")
+    return first.join(heads, "token").where("doc_id <> head").select(F.col("doc_id").alias("src"), F.col("head").alias("dst")).distinct()
 
 
 class PrefixTree:
@@ -341,7 +360,7 @@ def _join_families(df: DataFrame) -> DataFrame:
 
 def link_families(docs: DataFrame, fam: DataFrame, ws: Workspace, most: int = FAMILY_MOST) -> DataFrame:
     """(src, dst): links between the representatives in ``fam`` (doc_id, s1, s2, n, family)."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    text = docs.select("doc_id", "text")
     sizes = fam.groupBy("family").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k")).where("k > 1")
     sizes = ws.write(sizes, "sizes")
     total = sizes.agg(F.sum("total"), F.max("total")).first()
@@ -394,15 +413,17 @@ def components(docs: DataFrame, most: int = FAMILY_MOST) -> DataFrame:
     scanned = ws.write(scan(docs), "scan")
     found = scanned.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") >= FREQUENT_LEAST)
     found = found.orderBy(F.desc("c"), "token").limit(FREQUENT_MOST).toPandas()
-    values, counts = found["token"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
-    edges = ws.write(star_edges(prefix_rows(docs, values, counts)), "stars")
-    heads = edges.where("token IS NOT NULL").groupBy("token").agg(F.min("src").alias("low"))
-    ties = edges.where("token IS NOT NULL").join(heads, "token").select("src", F.col("low").alias("dst"))
-    families = connected_components(edges.where("token IS NULL").select("src", "dst").unionAll(ties), ws, name="cc-families")
+    frequent = found["token"].to_numpy(np.int64).view(np.uint64)
     ids = scanned.where("token IS NULL").select("doc_id", "n", "s1", "s2")
     reps = ids.where("doc_id IS NOT NULL AND n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    fam = reps.join(families, F.col("s1") == F.col("node")).select(F.col("rep").alias("doc_id"), "s1", "s2", "n", F.col("component").alias("family"))
-    links = link_families(docs, ws.write(fam, "families"), ws, most)
+    some = active_sets(reps, shared_counts(prefix_rows(docs, frequent))).withColumnRenamed("rep", "doc_id")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    active = ws.write(text.join(some, "doc_id"), "active")
+    rows = ws.write(shingle_rows(active), "shingles")
+    families = connected_components(star_edges(rows, active), ws, name="cc-families")
+    ws.drop("shingles")
+    fam = active.select("doc_id", "s1", "s2", "n").distinct().join(families, F.col("doc_id") == F.col("node")).select("doc_id", "s1", "s2", "n", F.col("component").alias("family"))
+    links = link_families(active, ws.write(fam, "families"), ws, most)
     cc = connected_components(links, ws, name="cc-links")
     reps = reps.join(cc, F.col("rep") == F.col("node"), "left").select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), F.coalesce("component", "rep").alias("top"))
     both = ids.join(reps, (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")) & (F.col("n") > 0), "left")
