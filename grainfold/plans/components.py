@@ -4,7 +4,8 @@ Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).  Each
 round hangs every node under the least neighbour it knows; minima are taken by
 partial aggregation, so a hub with a huge number of neighbours sends one row per
 map task.  The joins that follow are plain equi-joins that adaptive execution
-may split.  Nothing is collected but two numbers per round.
+may split.  Rounds end once every node hangs under a root.  Nothing is collected
+but two flags per round.
 """
 
 from __future__ import annotations
@@ -27,6 +28,13 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether every node hangs under exactly one node that hangs under none."""
+    if not e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return False
+    return e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
 def connected_components(edges: DataFrame, ws: Workspace, src: str = "src", dst: str = "dst", name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges``; component is the least node reachable.
 
@@ -35,12 +43,10 @@ def connected_components(edges: DataFrame, ws: Workspace, src: str = "src", dst:
     """
     a, b = F.col(src), F.col(dst)
     e = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    cur, seen = ws.write(e, f"{name}-0"), None
+    cur = ws.write(e, f"{name}-0")
     for k in range(1, max_rounds + 1):
-        now = cur.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now == seen or now[0] == 0:
+        if _settled(cur):
             break
-        seen = now
         cur = ws.write(_small_star(_large_star(cur)), f"{name}-{k}")
         ws.drop(f"{name}-{k - 1}")
     else:
