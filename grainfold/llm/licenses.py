@@ -168,3 +168,30 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         best = F.when(F.col("family") == family, F.greatest(*share, F.lit(0.0))).otherwise(best)
     lines = lines.withColumn("template_cover", F.round(best, 6))
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "family", "probability", "template_cover", (F.col("template_cover") >= LEAST_COVER).alias("confirmed"))
+
+
+def oracle_sql() -> str:
+    """``scan`` over ``documents`` as DuckDB SQL, the trained weights written out."""
+    m = model()
+    strings = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    numbers = lambda xs: "[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in xs) + "]"
+    weights = ", ".join(f"('{g}', {numbers(w)})" for g, w in zip(m.features, m.weights))
+    n = len(m.classes)
+    sums = ", ".join(f"coalesce(sum(f.v[{k + 1}]), 0.0::DOUBLE) + {float(b)!r}::DOUBLE" for k, b in enumerate(m.bias))
+    covers = " ".join(
+        f"WHEN '{family}' THEN greatest(" + ", ".join(f"len(list_intersect(w, {strings(sorted(set(words(t))))})) / {float(len(set(words(t))))}::DOUBLE" for t in ts) + ", 0.0::DOUBLE)"
+        for family, ts in TEMPLATES.items()
+    )
+    return f"""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, line_no, string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+') AS w FROM l),
+c AS (SELECT doc_id, line_no, w, list_filter(w, lambda x: list_contains({strings(m.vocabulary)}, x)) AS k FROM w WHERE len(list_intersect(w, {strings(m.vocabulary)})) >= 2),
+g AS (SELECT doc_id, line_no, w, unnest(list_distinct(list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])))) AS g FROM c),
+f(g, v) AS (VALUES {weights}),
+z AS (SELECT g.doc_id, g.line_no, any_value(g.w) AS w, [{sums}] AS z FROM g LEFT JOIN f ON f.g = g.g GROUP BY g.doc_id, g.line_no),
+p AS (
+  SELECT doc_id, line_no, w, {strings(m.classes)}[list_position(z, list_max(z))] AS family,
+    round(1 / list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / {float(m.temperature)!r}::DOUBLE))), 6) AS probability FROM z),
+t AS (SELECT *, round(CASE family {covers} END, 6) AS template_cover FROM p WHERE family <> '{UNKNOWN}' AND probability >= {LEAST_PROBABILITY}::DOUBLE)
+SELECT doc_id, line_no, family, probability, template_cover, template_cover >= {LEAST_COVER}::DOUBLE AS confirmed FROM t
+"""

@@ -80,9 +80,14 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_warc": op10_warc,
 }
-ORACLES: dict[str, str] = {
-    "op2_line_dedup": linedup.ORACLE_SQL,
-    "op4_chat_format": chat.ORACLE_SQL,
-    "op9_ngram_join": ngramjoin.ORACLE_SQL,
-    "op10_warc": warc.ORACLE_SQL,
-}
+
+
+def oracles() -> dict[str, str]:
+    """DuckDB SQL of the queries that SQL can express; op7's holds the weights, and so trains the model."""
+    return {
+        "op2_line_dedup": linedup.ORACLE_SQL,
+        "op4_chat_format": chat.ORACLE_SQL,
+        "op7_licenses": licenses.oracle_sql(),
+        "op9_ngram_join": ngramjoin.ORACLE_SQL,
+        "op10_warc": warc.ORACLE_SQL,
+    }

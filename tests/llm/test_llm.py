@@ -383,4 +383,4 @@ def test_stages_take_empty_and_odd_tables(spark):
 
 
 def test_every_query_has_a_row_count(spark):
-    assert json.dumps(sorted(queries.QUERIES)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert json.dumps(sorted(queries.QUERIES)) and set(queries.oracles()) <= set(queries.QUERIES)
