@@ -31,7 +31,7 @@ LEAST = 0.8
 #: Bits of difference searched. At similarity 0.8 about 10 of 64 bits differ (deviation 3).
 RADIUS, BLOCKS = 20, 8
 #: Characters of benchmark text that one broadcast holds; more of it takes more passes over the documents.
-PASS_CHARS = 64 << 20
+PASS_CHARS = 8 << 20
 _BITS = np.arange(64, dtype=np.uint64)
 _ONES = np.array([bin(i).count("1") for i in range(256)])
 
@@ -69,14 +69,8 @@ class Matcher:
         grams = [(i, word_runs(t)) for i, t in items]
         self.items = [(i, h) for i, h in grams if len(h)]
         self.prints = np.concatenate([_pack(_signs(h).sum(0)[None, :]) for _, h in self.items] or [np.empty((0, 8), np.uint8)])
-        near = np.flatnonzero(_ONES <= RADIUS // BLOCKS)
-        self.blocks: list[list[np.ndarray]] = []
-        for b in range(BLOCKS):
-            by: list[list[int]] = [[] for _ in range(256)]
-            for k, p in enumerate(self.prints[:, b]):
-                for d in near:
-                    by[p ^ d].append(k)
-            self.blocks.append([np.array(x, np.int64) for x in by])
+        values = np.arange(256, dtype=np.uint8)
+        self.blocks = [[np.flatnonzero(_ONES[self.prints[:, b] ^ v] <= RADIUS // BLOCKS) for v in values] for b in range(BLOCKS)]
         size = np.array([len(h) for _, h in self.items], np.int64)
         flat = np.concatenate([h for _, h in self.items] or [np.empty(0, np.uint64)])
         owner = np.repeat(np.arange(len(self.items)), size)
