@@ -12,7 +12,7 @@ conversation; ``write_out`` does so where it is wanted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, MID, CLOSE = "<turn ", ">", "</turn>"
@@ -50,14 +50,11 @@ def transcripts(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
 def examples(t: DataFrame, reply: str = "assistant") -> DataFrame:
     """conv_id, turn_no, context_chars, target: a row per turn of role ``reply`` of ``transcripts()``."""
-    size = lambda x: F.char_length(x["head"]) + F.char_length(x["body"]) + len(CLOSE)
-    before = F.aggregate(
-        "turns", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all")),
-        lambda a, x: F.struct((a["at"] + size(x)).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"],
-    )
-    e = t.select("conv_id", F.posexplode(F.arrays_zip(F.col("turns").alias("x"), before.alias("at"))).alias("turn_no", "e"))
-    e = e.where(F.col("e.x.role") == reply)
-    return e.select("conv_id", "turn_no", (F.col("e.at") + F.char_length("e.x.head")).alias("context_chars"), F.concat("e.x.body", F.lit(CLOSE)).alias("target"))
+    e = t.select("conv_id", F.posexplode("turns").alias("turn_no", "x"))
+    size = F.char_length("x.head") + F.char_length("x.body") + len(CLOSE)
+    before = Window.partitionBy("conv_id").orderBy("turn_no").rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0).cast("long"))).where(F.col("x.role") == reply)
+    return e.select("conv_id", "turn_no", (F.col("at") + F.char_length("x.head")).alias("context_chars"), F.concat("x.body", F.lit(CLOSE)).alias("target"))
 
 
 def write_out(t: DataFrame, e: DataFrame) -> DataFrame:
