@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from grainfold.functions import formulas as X
 from grainfold.operators import cache, geometry, grouping, persons, scoring
+from grainfold.plans.workspace import Workspace
+from grainfold.sources import render
 from grainfold.sources.catalog import PHOTOS_SQL, networks, photos, table
+from grainfold.sources.images import drawn, measure
+from grainfold.streaming import watch
 
 CUSTOM = X.Weights(0.5, 0.2, 0.2, 0.1, 0.05)
 COSINE_LEAST = 0.4
@@ -256,6 +260,32 @@ def arrival_gaps(spark, sf):
     return e.withColumn("gap", gap).where("gap <= 30000000").groupBy("event_type").agg(F.count(F.lit(1)).alias("close_arrivals"))
 
 
+def event_windows(spark, sf):
+    """Arrivals by hour and type, counted by a stream that takes what is there and stops."""
+    ws = Workspace(spark, "stream")
+    got = watch.run_once(watch.event_rates(spark, f"{sf}/events.parquet*"), f"{ws.path}/table", f"{ws.path}/checkpoint")
+    return got.select(F.unix_seconds("start").alias("start_s"), "event_type", "n")
+
+
+def measured_pictures(spark, sf):
+    """Texts drawn as gray pictures of 32 columns, stored as PNG, and measured from the files."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text")
+    return measure(drawn(docs)).select("ord", "width", "height", *[r6(F.col(f"quality.{k}")).alias(k) for k in ("sharpness_raw", "clipped_highlights_pct", "clipped_shadows_pct", "mean_luma", "contrast")], F.hex("perceptual_hash").alias("code"))
+
+
+def rendered_pictures(spark, sf):
+    """The same pictures through resize, adjustment and crops; sizes and paths of the files that would be written."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text")
+    preset = geometry.Preset(resize=geometry.Resize(width=64, height=64), output=geometry.Output("Png", folder="web"), crops=(geometry.Crop("sq", "square", 16, 16),), adjust=geometry.Adjust(contrast=0.2))
+    return render.render(drawn(docs), preset).select("path", "crop_id", "out_path", "width", "height", "ok")
+
+
+def preset_outputs(spark, sf):
+    """Planned outputs of the catalog under a preset with two crops: a row per file."""
+    preset = geometry.Preset(output=geometry.Output("Png", folder="web"), crops=(geometry.Crop("sq", "square", 256, 256), geometry.Crop("tall", "tall", 1080, 1920)))
+    return geometry.plan_outputs(photos(spark, sf), preset).select("ord", "crop_id", "width", "height", "out_path")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -263,7 +293,7 @@ QUERIES = {
         pre_reject, status_overrides, keep_filter, best_photo_per_person, recommend_all_networks, recommend_topn, format_fit, text_grid_dhash, hamming_pairs,
         duplicate_groups, group_sizes, exact_duplicates, ranked_group_markers, cosine_pairs, l2_normalize, cluster_persons, nearest_centroid, aesthetic_distribution,
         face_summary, cache_hit_tiers, cache_upsert, resume_pending, batch_metrics, move_plan, resize_targets, center_crop_geometry, logo_placement, output_paths,
-        output_collisions, media_kinds, arrival_gaps,
+        output_collisions, media_kinds, arrival_gaps, event_windows, measured_pictures, rendered_pictures, preset_outputs,
     )
 }
 
@@ -364,5 +394,13 @@ ORACLES = {
     "output_paths": f"WITH {PHOTOS_SQL} SELECT ord, 'out/' || regexp_extract(path, '^(.*)/', 1) || '/' || ord || '_web.jpg' AS out_path, 'out/' || regexp_extract(path, '^(.*)/', 1) || '/' || ord || '__ig_feed_4_5_web.jpg' AS crop_path FROM photos",
     "output_collisions": f"WITH {PHOTOS_SQL}, o AS (SELECT unnest(['out/' || (ord % 700) || '.jpg', 'out/' || (ord % 700) || '__sq.jpg']) AS p FROM photos), n AS (SELECT p, count(*) AS n FROM o GROUP BY p) SELECT n > 1 AS collides, sum(n)::BIGINT AS outputs FROM n GROUP BY 1",
     "media_kinds": f"WITH {PHOTOS_SQL} SELECT CASE ord % 8 WHEN 0 THEN 'image' WHEN 1 THEN 'image' WHEN 2 THEN 'image' WHEN 3 THEN 'raw' WHEN 4 THEN 'raw' WHEN 5 THEN 'video' WHEN 6 THEN 'video' ELSE 'other' END AS kind, count(*) AS files FROM photos GROUP BY 1",
+    "event_windows": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "rendered_pictures": "WITH d AS (SELECT doc_id, 32 AS width, greatest(1, ceil(strlen(coalesce(text, '')) / 32.0::DOUBLE))::INT AS height FROM documents), s AS (SELECT doc_id, "
+    + _target_sql("t", _px("width", _fit(64, 64)), _px("height", _fit(64, 64))) + """ FROM d), o AS (SELECT *, unnest([NULL, 'sq']) AS crop_id FROM s)
+      SELECT 'drawn/' || doc_id || '.png' AS path, crop_id, 'web/' || doc_id || CASE WHEN crop_id IS NULL THEN '' ELSE '__sq' END || '.png' AS out_path,
+        CASE WHEN crop_id IS NULL THEN t_w ELSE 16 END AS width, CASE WHEN crop_id IS NULL THEN t_h ELSE 16 END AS height, true AS ok FROM o""",
+    "preset_outputs": f"WITH {PHOTOS_SQL}, t AS (SELECT ord, " + _target_sql("t", _px("width", _fit(2048, 2048)), _px("height", _fit(2048, 2048))) + """ FROM photos)
+      SELECT ord, NULL AS crop_id, t_w AS width, t_h AS height, 'web/' || ord || '.png' AS out_path FROM t
+      UNION ALL SELECT ord, 'sq', 256, 256, 'web/' || ord || '__sq.png' FROM t UNION ALL SELECT ord, 'tall', 1080, 1920, 'web/' || ord || '__tall.png' FROM t""",
     "arrival_gaps": "WITH g AS (SELECT event_type, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) SELECT event_type, count(*) AS close_arrivals FROM g WHERE gap <= 30000000 GROUP BY event_type",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,21 @@ def decode(content: bytes, path: str):
     raise ValueError(f"no decoder for {path}")
 
 
+def drawn(texts: DataFrame, columns: int = 32) -> DataFrame:
+    """ord, path, file_size, modified, content: each text's bytes as a gray PNG, where there are no pictures to read."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            body = []
+            for t in f["text"]:
+                b = (t or "").encode()
+                b += bytes(max(1, -(-len(b) // columns)) * columns - len(b))
+                body.append(pixels.png(np.frombuffer(b, np.uint8).reshape(-1, columns)))
+            yield pd.DataFrame({"ord": f["ord"], "path": [f"drawn/{i}.png" for i in f["ord"]], "file_size": [len(b) for b in body], "modified": pd.Timestamp(0, tz="UTC"), "content": body})
+
+    return texts.select("ord", "text").mapInPandas(run, "ord long, path string, file_size long, modified timestamp, content binary")
+
+
 def scan(spark: SparkSession, roots: list[str], with_content: bool = True) -> DataFrame:
     """ord, path, file_size, modified (and content) of the media files below files and folders, ordered by path.
 

@@ -67,9 +67,22 @@ class Progress(StreamingQueryListener):
         self.ended.append(event.exception)
 
 
-def event_rates(spark: SparkSession, folder: str, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
+def event_rates(spark: SparkSession, path: str, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """A stream of arrival counts by type and time window, over event files with ts and event_type."""
-    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     e = e.withWatermark("ts", lateness).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return e.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+def run_once(stream: DataFrame, table: str, checkpoint: str) -> DataFrame:
+    """Runs an aggregating stream over what is there, and returns its full result, as written to ``table``."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/{batch_id}")
+
+    q = stream.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = max((p["batchId"] for p in q.recentProgress), default=0)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{table}/{last}")
+

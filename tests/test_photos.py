@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from grainfold.functions import formulas as X
 from grainfold.functions import pixels
-from grainfold.operators import cache, geometry, grouping, persons, scoring
+from grainfold.operators import cache, geometry, grouping, persons, scoring, selection
 from grainfold.plans.analyze import Settings, analyze
 from grainfold.plans.components import connected_components
 from grainfold.plans.workspace import Workspace
 from grainfold.sources import images, presets, render, video
 from grainfold.sources.catalog import network, networks
+from grainfold.sources.library import Library
 from grainfold.streaming import watch
 
 CODES = "ord long, perceptual_hash long, capture_s long"
@@ -294,6 +295,36 @@ def test_watched_folder(spark, folder, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/m").where("error IS NULL").count() == 4
 
 
+def test_library(spark, tmp_path):
+    lib = Library(spark, f"file://{tmp_path}/lib")
+    assert lib.save_preset(geometry.Preset("my preset")) == "presets/my_preset.json"
+    assert presets.read_presets(spark, f"file://{tmp_path}/lib/presets").first()["name"] == "my preset"
+    assert lib.delete_preset("my preset") and not lib.delete_preset("my preset")
+    logo = lib.add_logo("a b.PNG", b"123")
+    assert lib.logos() == [logo] and lib.logo(logo) == b"123" and lib.delete_logo(logo) and lib.logo(logo) is None
+    lib.add_metrics({"images": 2})
+    assert lib.add_metrics({"images": 3, "videos": 1})["images"] == 5 and lib.clear_metrics()
+    (tmp_path / "m.onnx").write_bytes(b"x")
+    found = lib.find_model("m.onnx", [str(tmp_path / "none"), str(tmp_path)])
+    assert found and lib.model_version([found]) > 0 and lib.model_version([]) == 0
+
+
+def test_selection(spark):
+    q = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "ord long, path string")
+    pick = q.where("ord < 3").select("path")
+    assert selection.to_queue(q, pick).count() == 2 and selection.to_queue(q, pick.limit(0)).count() == 3
+    assert selection.done_paths(pick, pick).count() == 2
+    both = F.array(F.lit("a"), F.lit("b"))
+    assert value(spark, selection.toggle(both, F.lit("a"))) == ["b"] and value(spark, selection.toggle(both, F.lit("c"))) == ["a", "b", "c"]
+    assert [r["v"] for r in selection.zip_by_order(q, spark.createDataFrame([(2, "x")], "ord long, v string")).orderBy("ord").collect()] == [None, "x", None]
+
+
+def test_video_graph(spark):
+    p = geometry.Preset(logos=(geometry.Logo("l", 0.25, background_rgba=(0, 0, 0, 128)),), texts=(geometry.TextMark("{filename}: x"),), adjust=geometry.Adjust(contrast=0.2))
+    g = value(spark, geometry.video_graph(F.lit(1921), F.lit(1081), F.lit(80), F.lit(40), p, "/f.ttf", F.lit("clip")))
+    assert g.startswith("[0:v]scale=1920:1080,eq=") and "drawbox" in g and "overlay=" in g and "text='clip\\: x'" in g and g.endswith("[v2]")
+
+
 def test_video_says_what_is_missing():
     import shutil
 
