@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainfold.plans.workspace import Workspace
+
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,6 +38,7 @@ def drop_common_lines(df: DataFrame, min_docs: int = 5, min_chars: int = 40, key
     lines = src.select("k", "r", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line")).select("k", "r", "pos", line_key(F.col("line")).alias("line"))
     lines = lines.where(F.char_length("line") >= min_chars).select("k", "r", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(20261), "line").alias("h2"))
     common = lines.groupBy("h1", "h2").agg(F.countDistinct("k").alias("n"), F.max("k").alias("keeper")).where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
+    common = Workspace(df.sparkSession, "lines").write(common, "common")  # written: a join with an aggregate itself would not be split
     gone = lines.join(common, ["h1", "h2"]).where(~F.col("k").eqNullSafe(F.col("keeper")))
     gone = gone.groupBy(F.col("k").alias("gk"), F.col("r").alias("gr")).agg(F.collect_set("pos").alias("gone"))
     both = src.join(gone, F.col("k").eqNullSafe(F.col("gk")) & (F.col("r") == F.col("gr")), "left")
