@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from grainfold.llm.memory import tidy
 from grainfold.llm.pieces import WordMemo
 
 _FAR = np.int64(1) << 62
@@ -173,7 +174,7 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODEC[path, pattern]
 
 
-def slices(texts: list[str], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` characters, so that memory is bounded whatever a batch holds."""
     at, size = 0, 0
     for i, t in enumerate(texts):
@@ -199,7 +200,7 @@ def encode_frame(df: DataFrame, path: str, pattern: str, text: str = "text", ids
                 col = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(got), "<i4")))
                 yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, col], names=[*b.schema.names, ids])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def digest_frame(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -228,4 +229,4 @@ def digest_frame(df: DataFrame, path: str, pattern: str, key: str = "doc_id", te
             cols = [b.column(0), *(b.column(2 + k) for k in range(len(keep)))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())], names=[key, *keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainfold.llm.memory import tidy
 from grainfold.llm.shingles import mix, runs
 
 LEAST = 0.8
@@ -154,7 +155,7 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFra
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kind)], names=["doc_id", "item_id", "similarity", "start"])
 
-        got = src.mapInArrow(run, schema)
+        got = src.mapInArrow(tidy(run), schema)
         out = got if out is None else out.unionAll(got)
     return out
 
@@ -170,5 +171,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
                 at = b.schema.get_field_index("text")
                 yield b.filter(pa.array([not m.match(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))
+        docs = docs.mapInArrow(tidy(run), T.StructType(docs.schema.fields))
     return docs

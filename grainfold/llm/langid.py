@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainfold.llm.memory import tidy
+
 UNKNOWN = "und"
 #: At most so many labelled texts a language, of so many characters each, make its dictionary.
 SAMPLE_TEXTS, SAMPLE_CHARS = 96, (300, 4000)
@@ -108,7 +110,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 lang.append(x[0]), score.append(x[1]), ok.append(x[2])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], names=[*names, "lang_pred", "score", "accepted"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

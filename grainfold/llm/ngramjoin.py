@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grainfold.llm.memory import release, tidy
 from grainfold.llm.shingles import set_key, shingle_set
 from grainfold.plans.components import connected_components
 from grainfold.plans.workspace import Workspace
@@ -52,7 +53,7 @@ FAMILY_MOST, PIVOTS = 2_000_000, 16
 class FrequentCounts:
     """Counts of shingles in one task, in bounded memory; rare ones are forgotten as it goes on."""
 
-    def __init__(self, chunk: int = 1 << 21):
+    def __init__(self, chunk: int = 1 << 20):
         self.chunk, self.size, self.sets = chunk, 0, []
         self.values, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
 
@@ -107,7 +108,7 @@ def scan(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(v.view(np.int64)), pa.array(c)], names=names)
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return src.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return src.mapInArrow(tidy(run), ", ".join(f"{n} long" for n in names))
 
 
 def prefix_size(n: int) -> int:
@@ -140,7 +141,7 @@ def prefix_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 salt = np.where(hot, key % SALTS, -1).astype(np.int8)
                 yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(salt), pa.array(key)], names=["token", "salt", "s1"])
 
-    return docs.select("text").mapInArrow(run, "token long, salt byte, s1 long")
+    return docs.select("text").mapInArrow(tidy(run), "token long, salt byte, s1 long")
 
 
 def shared_counts(rows: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def shared_counts(rows: DataFrame) -> DataFrame:
             if len(keys):
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["s1", "c"])
 
-    return dealt.mapInArrow(run, "s1 long, c long").groupBy("s1").agg(F.sum("c").alias("c"))
+    return dealt.mapInArrow(tidy(run), "s1 long, c long").groupBy("s1").agg(F.sum("c").alias("c"))
 
 
 def active_sets(reps: DataFrame, counts: DataFrame) -> DataFrame:
@@ -196,7 +197,7 @@ def shingle_rows(active: DataFrame) -> DataFrame:
                     ids = np.repeat(np.array([d for _, d in sets], np.int64), [len(s) for s, _ in sets])
                     yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(ids)], names=["token", "doc_id"])
 
-    return active.select("doc_id", "s1", "s2", "text").mapInArrow(run, "token long, doc_id long")
+    return active.select("doc_id", "s1", "s2", "text").mapInArrow(tidy(run), "token long, doc_id long")
 
 
 def star_edges(rows: DataFrame, active: DataFrame) -> DataFrame:
@@ -353,6 +354,7 @@ def _join_families(df: DataFrame) -> DataFrame:
             for a, b in link_sets([v[0] for v in vals], labels, [bool(v[2]) for v in vals]):
                 src.append(docs[a])
                 dst.append(docs[b])
+        release()
         return pd.DataFrame({"src": pd.Series(src, dtype="int64"), "dst": pd.Series(dst, dtype="int64")})
 
     return df.groupBy("g").applyInPandas(run, "src long, dst long")

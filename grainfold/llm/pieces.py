@@ -16,7 +16,7 @@ _FULL = object()
 class WordMemo:
     """Encodes texts to bytes through ``encode_many(list of word strings) -> list of bytes``."""
 
-    def __init__(self, pattern: str, encode_pieces, limit: int = 400_000):
+    def __init__(self, pattern: str, encode_pieces, limit: int = 120_000):
         self.find = regex.compile(pattern).findall
         self.encode_pieces, self.limit = encode_pieces, limit
         self.words: dict[str, bytes | None] = {}

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainfold.llm.bpe import slices
+from grainfold.llm.memory import tidy
 from grainfold.llm.pieces import WordMemo
 
 #: The pattern of the byte-level pre-tokenizer (a fixed value of the file format).
@@ -134,4 +135,4 @@ def count_tokens(df: DataFrame, path: str, limit: int = 512, key: str = "doc_id"
             size = [len(t) if t.isascii() else len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64())], names=[key, "n_bytes", "n_tokens"])
 
-    return src.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return src.mapInArrow(tidy(run), schema).withColumn("over_limit", F.col("n_tokens") > limit)
