@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainfold.functions import formulas as X
+from grainfold.plans.workspace import Workspace
 
 #: Values that split the batch for a running count; bounded, so they may travel to the driver.
 CUTS = 64
@@ -97,3 +98,39 @@ def top_n(r: DataFrame, n: int) -> DataFrame:
     """The first ``n`` of each format by recommendation, then order, with their rank."""
     w = Window.partitionBy("network_id").orderBy(F.desc("recommendation"), "ord")
     return r.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def ranked(p: DataFrame, score: str = "composite_score", ord: str = "ord", carry: str | None = None) -> DataFrame:
+    """Adds rank, from 1, of every row by score (highest first, nulls last), then order; and with ``carry`` previous: that column in the row before.
+
+    Rows are numbered within ranges of (score, ord), so no task sorts all of
+    them; a score that many rows share is split by order.  Only the ranges'
+    bounds, sizes and last rows pass through the driver.
+    """
+    p = Workspace(p.sparkSession, "ranks").write(p, "rows")
+    s, o = F.col(score), F.col(ord)
+    marks = p.approxQuantile(score, [k / CUTS for k in range(1, CUTS)], 0.005)
+    bounds = [s < F.lit(c) for c in set(marks)]
+    if shared := sorted({c for c in marks if marks.count(c) > 1}):
+        parts = F.percentile_approx(ord, [k / CUTS for k in range(1, CUTS)], F.lit(1000)).alias("parts")
+        for r in p.where(s.isin(shared)).groupBy(s.alias("c")).agg(parts).collect():
+            bounds += [(s < F.lit(r["c"])) | ((s == F.lit(r["c"])) & (o > F.lit(x))) for x in set(r["parts"])]
+    spot = F.lit(0)
+    for b in bounds:
+        spot = spot + F.coalesce(b, F.lit(True)).cast("int")
+    p = p.withColumn("__range", spot)
+    last = F.max_by(carry, F.struct(s.isNull(), -s, o)) if carry else F.lit(None)
+    ends = {r["__range"]: r for r in p.groupBy("__range").agg(F.count(F.lit(1)).alias("n"), last.alias("last")).collect()}
+    before, lasts, total, value = [], [], 0, None
+    for k in range(len(bounds) + 1):
+        before.append(total)
+        lasts.append(value)
+        if k in ends:
+            total, value = total + ends[k]["n"], ends[k]["last"]
+    w = Window.partitionBy("__range").orderBy(s.desc_nulls_last(), o)
+    at = F.row_number().over(w)
+    out = p.withColumn("rank", at + F.get(F.array(*[F.lit(b).cast("long") for b in before]), F.col("__range")))
+    if carry:
+        ahead = F.get(F.array(*[F.lit(v).cast(p.schema[carry].dataType) for v in lasts]), F.col("__range"))
+        out = out.withColumn("previous", F.when(at == 1, ahead).otherwise(F.lag(carry).over(w)))
+    return out.drop("__range")

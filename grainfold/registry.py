@@ -64,11 +64,15 @@ def composite_custom_weights(spark, sf):
     return scoring.score(photos(spark, sf), CUSTOM).select("ord", r6(F.col("composite_score")).alias("composite_score"))
 
 
-def live_rerank(spark, sf):
-    """Stored sub-scores under other weights, with the rank of the first hundred."""
+def live_rerank_all(spark, sf):
+    """Stored sub-scores under other weights, with the rank of every photo."""
     p = scoring.rescore(scoring.sub_scores(photos(spark, sf)), CUSTOM).select("ord", r6(F.col("composite_score")).alias("composite_score"))
-    top = p.orderBy(F.desc("composite_score"), "ord").limit(100)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("composite_score"), "ord")))
+    return scoring.ranked(p)
+
+
+def live_rerank(spark, sf):
+    """The first hundred of ``live_rerank_all``, as its SQL asks."""
+    return live_rerank_all(spark, sf).where("rank <= 100").withColumn("rank", F.col("rank").cast("int"))
 
 
 def group_winners(spark, sf):
@@ -129,14 +133,17 @@ def exact_duplicates(spark, sf):
     return grouping.exact_duplicates(photos(spark, sf))
 
 
-def ranked_group_markers(spark, sf):
-    """The first hundred by score, each marked where its group differs from the row before."""
+def ranked_group_markers_all(spark, sf):
+    """Every photo by score, marked where its group differs from the row before."""
     p = scoring.score(_grouped(spark, sf)).select("ord", r6(F.col("composite_score")).alias("composite_score"), "duplicate_group")
-    top = p.orderBy(F.desc("composite_score"), "ord").limit(100)
-    w = Window.orderBy(F.desc("composite_score"), "ord")
-    before = F.lag("duplicate_group").over(w)
+    before = F.col("previous")
     start = F.col("duplicate_group").isNotNull() & (before.isNull() | (before != F.col("duplicate_group")))
-    return top.select("ord", "composite_score", "duplicate_group", F.row_number().over(w).alias("rank"), start.alias("starts_group"))
+    return scoring.ranked(p, carry="duplicate_group").select("ord", "composite_score", "duplicate_group", "rank", start.alias("starts_group"))
+
+
+def ranked_group_markers(spark, sf):
+    """The first hundred of ``ranked_group_markers_all``, as its SQL asks."""
+    return ranked_group_markers_all(spark, sf).where("rank <= 100").withColumn("rank", F.col("rank").cast("int"))
 
 
 def _faces_embedded(spark, sf):
@@ -289,9 +296,9 @@ def preset_outputs(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        score_photos, sharpness_percentile, exposure_score, resolution_score, aesthetic_score, face_bonus, composite_custom_weights, live_rerank, group_winners,
+        score_photos, sharpness_percentile, exposure_score, resolution_score, aesthetic_score, face_bonus, composite_custom_weights, live_rerank, live_rerank_all, group_winners,
         pre_reject, status_overrides, keep_filter, best_photo_per_person, recommend_all_networks, recommend_topn, format_fit, text_grid_dhash, hamming_pairs,
-        duplicate_groups, group_sizes, exact_duplicates, ranked_group_markers, cosine_pairs, l2_normalize, cluster_persons, nearest_centroid, aesthetic_distribution,
+        duplicate_groups, group_sizes, exact_duplicates, ranked_group_markers, ranked_group_markers_all, cosine_pairs, l2_normalize, cluster_persons, nearest_centroid, aesthetic_distribution,
         face_summary, cache_hit_tiers, cache_upsert, resume_pending, batch_metrics, move_plan, resize_targets, center_crop_geometry, logo_placement, output_paths,
         output_collisions, media_kinds, arrival_gaps, event_windows, measured_pictures, rendered_pictures, preset_outputs,
     )
@@ -344,6 +351,7 @@ ORACLES = {
     "face_bonus": f"{_S} SELECT ord, round(face_bonus, 6) AS face_bonus FROM scored",
     "composite_custom_weights": f"WITH {PHOTOS_SQL}, {X.scored_sql(CUSTOM)} SELECT ord, round(composite_score, 6) AS composite_score FROM scored",
     "live_rerank": f"{_S}, r AS (SELECT ord, round({X.composite_sql(CUSTOM)}, 6) AS composite_score FROM subs) SELECT *, row_number() OVER (ORDER BY composite_score DESC, ord) AS rank FROM r ORDER BY rank LIMIT 100",
+    "live_rerank_all": f"{_S}, r AS (SELECT ord, round({X.composite_sql(CUSTOM)}, 6) AS composite_score FROM subs) SELECT *, row_number() OVER (ORDER BY composite_score DESC, ord) AS rank FROM r",
     "group_winners": f"{_G}{_CULL} SELECT duplicate_group, arg_max(ord, (round(composite_score, 6), -ord)) AS best FROM culled WHERE duplicate_group IS NOT NULL GROUP BY duplicate_group",
     "pre_reject": f"{_G}{_CULL} SELECT status, count(*) AS photos FROM judged GROUP BY status",
     "status_overrides": f"{_S}{_OVER} SELECT ord, path, status FROM over",
@@ -360,6 +368,9 @@ ORACLES = {
     "ranked_group_markers": f"""{_G}, p AS (SELECT s.ord, round(s.composite_score, 6) AS composite_score, g.duplicate_group FROM scored s LEFT JOIN grouped g ON g.ord = s.ord ORDER BY 2 DESC, 1 LIMIT 100)
       SELECT ord, composite_score, duplicate_group, row_number() OVER w AS rank, duplicate_group IS NOT NULL AND (lag(duplicate_group) OVER w IS NULL OR lag(duplicate_group) OVER w <> duplicate_group) AS starts_group
       FROM p WINDOW w AS (ORDER BY composite_score DESC, ord)""",
+    "ranked_group_markers_all": f"""{_G}, p AS (SELECT s.ord, round(s.composite_score, 6) AS composite_score, g.duplicate_group FROM scored s LEFT JOIN grouped g ON g.ord = s.ord)
+      SELECT ord, composite_score, duplicate_group, row_number() OVER w AS rank, duplicate_group IS NOT NULL AND (lag(duplicate_group) OVER w IS NULL OR lag(duplicate_group) OVER w <> duplicate_group) AS starts_group
+      FROM p WINDOW w AS (ORDER BY composite_score DESC, ord)""",
     "cosine_pairs": f"WITH e AS (SELECT vec_id AS ord, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.ord AS a, b.ord AS b, list_dot_product(a.e, b.e) AS s FROM e a JOIN e b ON a.ord < b.ord) SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= {COSINE_LEAST}::DOUBLE",
     "l2_normalize": "WITH e AS (SELECT vec_id AS ord, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings), n AS (SELECT ord, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM e) SELECT ord, round(list_dot_product(e, e), 6) AS length, round(e[1], 6) AS first FROM n",
     "nearest_centroid": """WITH e AS (SELECT vec_id AS ord, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.ord, b.ord AS k, list_dot_product(a.e, b.e) AS s FROM e a JOIN e b ON b.ord < 8),

@@ -26,3 +26,15 @@ def test_query_equals_its_sql(spark, name):
     cols = sorted(got.columns)
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["live_rerank", "live_rerank_all", "ranked_group_markers", "ranked_group_markers_all"])
+def test_ranks_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "labels", "embeddings", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = entry.queries()[name](spark, SF)
+    cols = sorted(got.columns)
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.select(*cols).collect()), key=str) == sorted(want, key=str)
+    assert len(want) == (con.execute("SELECT count(*) FROM documents").fetchone()[0] if name.endswith("_all") else 100)

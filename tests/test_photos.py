@@ -134,6 +134,15 @@ def test_winners_and_rejects(spark):
     assert got == {0: (True, "Undecided"), 1: (False, "Reject"), 2: (False, "Reject"), 3: (False, "Reject"), 4: (False, "Undecided")}
 
 
+def test_every_row_is_ranked_and_carries_the_row_before(spark):
+    rows = [(i, (i * 37 % 500) / 500 if i % 3 else 0.5, i % 11 if i % 4 else None) for i in range(1500)] + [(1500, None, 3)]
+    df = spark.createDataFrame(rows, "ord long, composite_score double, g int").repartition(5)
+    got = {r["ord"]: (r["rank"], r["previous"]) for r in scoring.ranked(df, carry="g").collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {r[0]: (k + 1, want[k - 1][2] if k else None) for k, r in enumerate(want)}
+    assert scoring.ranked(df.where("ord < 0")).count() == 0
+
+
 def test_persons_in_order(spark):
     e = [[1.0, 0.0], [0.99, 0.14], None, [0.0, 1.0], [], [0.1, 0.99]]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(e)], "ord long, embedding array<float>")
