@@ -13,19 +13,24 @@ from grainfold.operators.geometry import IMAGES, RAWS, VIDEOS, is_kind
 from grainfold.sources.images import measure
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
+#: Spark's file source passes over files a week older than the newest one, unless told otherwise.
+ANY_AGE = "36500d"
 
 
 def arrivals(spark: SparkSession, folder: str, with_content: bool = True, lateness: str = "1 hour") -> DataFrame:
     """A stream of media files that appear below ``folder``: ord, path, file_size, modified (and content).
 
     Empty files are passed over: writers should move whole files into place.  A
-    path that comes again within ``lateness`` is dropped.
+    path that comes again within ``lateness`` of its arrival is dropped.  Files
+    may be of any age: neither the watermark nor the source goes by their times,
+    so the source remembers every path of the folder.
     """
-    df = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(folder)
+    df = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").option("maxFileAge", ANY_AGE).load(folder)
     df = df.where(is_kind(F.col("path"), (*IMAGES, *RAWS, *VIDEOS)) & (F.col("length") > 0))
     cols = [F.xxhash64("path").alias("ord"), "path", F.col("length").alias("file_size"), F.col("modificationTime").alias("modified")]
     df = df.select(*cols, *(["content"] if with_content else []))
-    return df.withWatermark("modified", lateness).dropDuplicatesWithinWatermark(["path"])
+    df = df.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", lateness)
+    return df.dropDuplicatesWithinWatermark(["path"]).drop("arrived")
 
 
 def process_arrivals(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], once: bool = False) -> StreamingQuery:

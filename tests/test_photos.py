@@ -1,6 +1,8 @@
 """Behaviour of the photo operators on small literal tables and generated pictures."""
 
+import os
 import struct
+import time
 from pathlib import Path
 
 import numpy as np
@@ -304,6 +306,18 @@ def test_watched_folder(spark, folder, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/m").where("error IS NULL").count() == 4
 
 
+def test_watched_folder_takes_files_with_old_times(spark, folder, tmp_path):
+    def run():
+        watch.process_arrivals(watch.arrivals(spark, str(folder)).where("NOT path LIKE '%.mp4'"), f"{tmp_path}/ck", watch.measure_to(f"{tmp_path}/m"), once=True).awaitTermination(120)
+        return spark.read.parquet(f"{tmp_path}/m").where("error IS NULL").count()
+
+    assert run() == 3
+    for name, age in (("hours.png", 3 * 3600), ("days.png", 40 * 86400)):
+        (folder / name).write_bytes(pixels.png(gradient(50, 40)))
+        os.utime(folder / name, (time.time() - age,) * 2)
+    assert run() == 5
+
+
 def test_library(spark, tmp_path):
     lib = Library(spark, f"file://{tmp_path}/lib")
     assert lib.save_preset(geometry.Preset("my preset")) == "presets/my_preset.json"
