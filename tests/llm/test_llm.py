@@ -221,6 +221,20 @@ def test_language_id_hard_rows(spark):
     assert langid.identify(empty).count() == 0
 
 
+def test_language_id_rejects_narrow_margins(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    c = langid.Classifier(langid.fit(docs))
+    rng = random.Random(3)
+    own = docs.where("length(text) BETWEEN 600 AND 4000 AND crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2").orderBy("doc_id").select("text", "lang").collect()
+    by = {k: [r["text"] for r in own if r["lang"] == k] for k in ("en", "fr")}
+    mixed = [f"{rng.choice(by['en'])[:600]} {rng.choice(by['fr'])[:600]}" for _ in range(60)]
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (30, 200, 1000, 9000) for _ in range(25)]
+    share = lambda ts: sum(c.classify(t)[2] for t in ts) / len(ts)
+    assert share(mixed) < 0.1 and share(junk) < 0.02 and share([r["text"] for r in own]) > 0.95
+    two = langid.Classifier({"a": b" one two three ", "b": b" one two three "})
+    assert two.classify("one two three") == ("a", 0.5, False)
+
+
 # ---- 7 ----
 
 
