@@ -1,6 +1,7 @@
 """Licence scans with DataFrame functions only: a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line.  Its features are the vocabulary words it holds, and the
+A paragraph is a line, or a notice wrapped over neighbouring lines that are made
+up of template words.  Its features are the vocabulary words it holds, and the
 pairs of such words that follow one another (words outside the vocabulary
 between them are passed over).  A multinomial logistic regression with a class
 for "no known licence" weighs them; it is trained when the query is built, on
@@ -42,6 +43,8 @@ OTHERS = [
 #: Words that carry nothing (fixed values).
 STOP = {"the", "of", "to", "and", "or", "a", "an", "in", "is", "by", "for", "with", "this", "any", "are", "that", "it", "you", "as", "may", "not", "at", "be", "on", "all", "has", "can"}
 LEAST_PROBABILITY, LEAST_COVER = 0.5, 0.6
+#: Share of a line's distinct words that are template words, for it to be part of a wrapped notice.
+LEAST_SHARE = 0.5
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -134,7 +137,7 @@ def _strings(xs: list[str]) -> Column:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line_no, family, probability, template_cover, confirmed: a row per line that is a known licence.
+    """doc_id, line_no, family, probability, template_cover, confirmed: a row per line, or wrapped notice at its first line, that is a known licence.
 
     Lines that hold fewer than two vocabulary words, or whose best class is the
     unknown one, or whose probability is below LEAST_PROBABILITY give no row;
@@ -144,9 +147,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     hold too few vocabulary words go no further than the scan.
     """
     m = model()
-    low = F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    lines = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    lines = lines.select("doc_id", "line_no", F.explode(F.array(F.split(low, "[^a-z0-9]+", -1))).alias("w"))
+    lines = _paragraphs(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text")), m)
     known = _strings(m.vocabulary)
     lines = lines.where(F.size(F.array_intersect("w", known)) >= 2)
     lines = lines.select("doc_id", "line_no", "w", F.explode(F.array(F.filter("w", lambda x: F.array_contains(known, x)))).alias("k"))
@@ -170,8 +171,66 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "family", "probability", "template_cover", (F.col("template_cover") >= LEAST_COVER).alias("confirmed"))
 
 
+def _let(x: Column, f) -> Column:
+    """f(x), with x worked out once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _confirmed(w: Column, m: Model) -> Column:
+    """Whether words are a known licence by the rules of ``scan``, as one expression."""
+    known = _strings(m.vocabulary)
+    table = F.map_from_arrays(_strings(m.features), F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in m.weights]))
+    bias, zero = F.array(*[F.lit(float(x)) for x in m.bias]), F.array(*[F.lit(0.0)] * len(m.classes))
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    pairs = lambda k: F.zip_with(F.slice(k, 1, F.size(k) - 1), F.slice(k, 2, F.size(k)), lambda a, b: F.concat(a, F.lit(" "), b))
+    total = lambda k: F.aggregate(F.array_distinct(F.concat(k, pairs(k))), bias, lambda a, g: add(a, F.coalesce(F.element_at(table, g), zero)))
+
+    def sure(z: Column) -> Column:
+        top = F.array_max(z)
+        odds = F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp((x - top) / F.lit(float(m.temperature))))
+        best = F.lit(0.0)
+        for k, ts in enumerate(TEMPLATES.values()):
+            share = [F.size(F.array_intersect(w, _strings(sorted(set(words(t)))))) / F.lit(float(len(set(words(t))))) for t in ts]
+            best = F.when(F.array_position(z, top) == k + 1, F.greatest(*share, F.lit(0.0))).otherwise(best)
+        return (F.round(1 / odds, 6) >= LEAST_PROBABILITY) & (F.round(best, 6) >= LEAST_COVER)
+
+    enough = F.size(F.array_intersect(w, known)) >= 2
+    return F.when(enough, _let(F.filter(w, lambda x: F.array_contains(known, x)), lambda k: _let(total(k), sure))).otherwise(False)
+
+
+def _paragraphs(docs: DataFrame, m: Model) -> DataFrame:
+    """doc_id, line_no, w: the words of every line, but those of a wrapped notice together at its first line.
+
+    Neighbouring lines form a run where at least LEAST_SHARE of each one's
+    distinct words are template words and none is a confirmed notice alone.  A run
+    that is a confirmed notice as a whole is one paragraph; any other gives its
+    lines.  Two wrapped notices without a line between them are one run.
+    """
+    template = _strings(sorted({x for ts in TEMPLATES.values() for t in ts for x in words(t)}))
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def marked(x: Column, i: Column) -> Column:
+        """``line_no:words``, between line breaks unless the line may be part of a run."""
+        w = F.filter(F.split(x, " ", -1), lambda v: v != "")
+        part = (F.size(w) > 0) & (F.size(F.array_intersect(w, template)) >= F.size(F.array_distinct(w)) * LEAST_SHARE)
+        part = part & ~F.when(part, _confirmed(w, m)).otherwise(False)
+        line = F.concat(i.cast("string"), F.lit(":"), x)
+        return F.when(part, line).otherwise(F.concat(F.lit("\n"), line, F.lit("\n")))
+
+    cleaned = F.transform(F.split(low, "\n", -1), lambda x: F.regexp_replace(x, "[^a-z0-9]+", " "))
+    runs = docs.select("doc_id", F.explode(F.split(F.array_join(F.transform(cleaned, marked), "\n"), "\n\n+", -1)).alias("u"))
+    runs = runs.select("doc_id", F.explode(F.array(F.trim("u", F.lit("\n")))).alias("u"))
+    runs = runs.select("doc_id", "u", F.split("u", "\n", -1).alias("parts"), F.split(F.regexp_replace("u", "\n?[0-9]+:", " "), " ", -1).alias("w"))
+    runs = runs.where((F.col("u") != "") & (F.size(F.array_intersect("w", _strings(m.vocabulary))) >= 2))
+    whole = F.when(F.size("parts") > 1, _confirmed(F.col("w"), m)).otherwise(False)
+    number = lambda x: F.split_part(x, F.lit(":"), F.lit(1)).cast("long").alias("line_no")
+    each = F.transform("parts", lambda x: F.struct(number(x), F.split(F.split_part(x, F.lit(":"), F.lit(2)), " ", -1).alias("w")))
+    out = runs.select("doc_id", F.explode(F.when(whole, F.array(F.struct(number(F.col("u")), F.col("w").alias("w")))).otherwise(each)).alias("p"))
+    return out.select("doc_id", "p.line_no", "p.w")
+
+
 def oracle_sql() -> str:
-    """``scan`` over ``documents`` as DuckDB SQL, the trained weights written out."""
+    """``scan`` over ``documents`` as DuckDB SQL, the trained weights written out; it knows lines only, no wrapped notices."""
     m = model()
     strings = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     numbers = lambda xs: "[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in xs) + "]"

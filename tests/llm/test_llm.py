@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import random
+import textwrap
 import zlib
 
 import duckdb
@@ -254,6 +255,19 @@ def test_licences_equal_the_plain_form(spark):
     assert all(by.get(i) == f for i, f in enumerate(f for f, ts in licenses.TEMPLATES.items() for _ in ts)) and 102 not in by
 
 
+def test_wrapped_licences_are_seen_whole(spark):
+    whole = {f: licenses.TEMPLATES[f][1] for f in ("mit", "bsd-3-clause", "gpl-3.0")}
+    rows, want = [], {}
+    for i, (f, width) in enumerate((f, w) for f in whole for w in (30, 50, 72)):
+        lines = textwrap.wrap(whole[f], width)
+        rows += [(i, "\n".join(lines)), (100 + i, "\n".join(["Prose xyz stands here.", *[f" * {x}" for x in lines], "Qwerty prose goes on."]))]
+        want |= {i: [(0, f, True)], 100 + i: [(1, f, True)]}
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect():
+        got.setdefault(r["doc_id"], []).append((r["line_no"], r["family"], r["confirmed"]))
+    assert got == want
+
+
 # ---- 8 ----
 
 
