@@ -1,15 +1,18 @@
 """Media columns: Netpbm and BMP files in binary columns, as numpy arrays.
 
-``decode`` reads PGM (P2, P5), PPM (P3, P6) and uncompressed 8- and 24-bit BMP;
-``encode`` writes PGM, PPM and BMP without loss.  ``area_resize`` averages over
-areas by an integral image, with fractions of border pixels; ``dhash`` compares
-neighbours of a 9 x 8 area-resized luma; ``npy_tile`` is a small tile in NPY form.
+``with_media`` stores payloads as images in a binary column; ``describe`` reads
+such a column back and computes features.  ``decode`` reads PGM (P2, P5), PPM
+(P3, P6) and uncompressed 8- and 24-bit BMP; ``encode`` writes PGM, PPM and BMP
+without loss.  ``area_resize`` averages over areas by an integral image, with
+fractions of border pixels; ``dhash`` compares neighbours of a 9 x 8
+area-resized luma; ``npy_tile`` is a small tile in NPY form.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import math
 import re
 import struct
 import zlib
@@ -19,10 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Formats of stored payloads; a payload's CRC-32 chooses.
+KINDS = ("pgm", "ppm", "bmp")
 #: Bytes that payloads are padded to a multiple of: 24 x 24 samples, or 192 pixels of three.
 UNIT, WIDTH, PAD = 576, 24, 255
 #: Luma weights of Rec. 601 (fixed values).
 LUMA = np.array([0.299, 0.587, 0.114])
+#: Rows of a picture that are summed at once.
+STRIP = 1 << 14
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
 
@@ -44,7 +51,7 @@ def encode(a: np.ndarray, kind: str = "pgm") -> bytes:
 
 
 def decode(b: bytes) -> np.ndarray:
-    """The samples of a Netpbm or BMP file; ValueError where it is neither, or cut short."""
+    """The samples of a Netpbm or BMP file; ValueError where it is neither, empty, cut short, or holds samples out of range."""
     if b[:2] == b"BM":
         return _decode_bmp(b)
     if b[:2] not in (b"P2", b"P3", b"P5", b"P6"):
@@ -58,18 +65,24 @@ def decode(b: bytes) -> np.ndarray:
     w, h, top = head
     if not 0 < top < 256:
         raise ValueError("samples are not of 8 bits")
+    if min(w, h) < 1:
+        raise ValueError("the picture has no pixels")
     shape = (h, w, 3) if b[1:2] in b"36" else (h, w)
-    n = int(np.prod(shape))
+    n = math.prod(shape)
     if b[1:2] in b"56":
         at += 1
         if len(b) < at + n:
             raise ValueError("samples are cut short")
         a = np.frombuffer(b, np.uint8, n, at)
     else:
-        a = np.array(b[at:].split()[:n], np.int64).astype(np.uint8)
+        a = np.array([int(x) for x in b[at:].split(maxsplit=n)[:n]], object)
         if len(a) < n:
             raise ValueError("samples are cut short")
-    return a.reshape(shape)
+        if min(a) < 0 or max(a) > top:
+            raise ValueError("samples are out of range")
+    if a.max() > top:
+        raise ValueError("samples are out of range")
+    return a.astype(np.uint8).reshape(shape)
 
 
 def _decode_bmp(b: bytes) -> np.ndarray:
@@ -79,6 +92,8 @@ def _decode_bmp(b: bytes) -> np.ndarray:
     used = struct.unpack_from("<I", b, 46)[0]
     if packed or depth not in (8, 24):
         raise ValueError("only uncompressed 8 and 24 bits are read")
+    if w < 1 or not h:
+        raise ValueError("the picture has no pixels")
     row, up = w * depth // 8, h > 0
     h, wide = abs(h), (w * depth // 8 + 3) // 4 * 4
     if len(b) < at + h * wide:
@@ -87,23 +102,44 @@ def _decode_bmp(b: bytes) -> np.ndarray:
     a = a[::-1] if up else a
     if depth == 24:
         return a.reshape(h, w, 3)[:, :, ::-1]
+    if used > 256 or 14 + head + (used or 256) * 4 > len(b):
+        raise ValueError("the palette is cut short")
     table = np.frombuffer(b, np.uint8, (used or 256) * 4, 14 + head).reshape(-1, 4)
+    if a.max() >= len(table):
+        raise ValueError("samples lie outside the palette")
     gray = (table[:, 0] == table[:, 1]).all() and (table[:, 1] == table[:, 2]).all()
     return table[a, 0] if gray else table[a][:, :, 2::-1]
 
 
+def _integral(a: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The wanted rows (ascending, from 0) of the integral image, summed in strips so that only they are held."""
+    out = np.zeros((len(rows), a.shape[1] + 1, *a.shape[2:]))
+    last = out[0].copy()
+    for top in range(0, a.shape[0], STRIP):
+        s = np.cumsum(a[top : top + STRIP], 0, dtype=np.float64)
+        np.cumsum(s, 1, out=s)
+        s += last[1:]
+        lo, hi = np.searchsorted(rows, (top + 1, top + len(s) + 1))
+        out[lo:hi, 1:] = s[rows[lo:hi] - top - 1]
+        last[1:] = s[-1]
+    return out
+
+
 def area_resize(a: np.ndarray, h: int, w: int) -> np.ndarray:
     """Mean over each of h x w equal areas, from an integral image read between its points where areas cut pixels."""
-    s = np.zeros((a.shape[0] + 1, a.shape[1] + 1, *a.shape[2:]))
-    np.cumsum(np.cumsum(a, 0, dtype=np.float64), 1, out=s[1:, 1:])
-
-    def at(edges: np.ndarray, axis: int, x: np.ndarray) -> np.ndarray:
-        lo = np.minimum(edges.astype(np.int64), x.shape[axis] - 2)
-        f = (edges - lo).reshape([-1 if k == axis else 1 for k in range(x.ndim)])
-        return np.take(x, lo, axis) * (1 - f) + np.take(x, lo + 1, axis) * f
 
-    s = at(np.arange(h + 1) * (a.shape[0] / h), 0, s)
-    s = at(np.arange(w + 1) * (a.shape[1] / w), 1, s)
+    def cells(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        edges = np.arange(n + 1) * (size / n)
+        lo = np.minimum(edges.astype(np.int64), size - 1)
+        return lo, edges - lo
+
+    (y, fy), (x, fx) = cells(h, a.shape[0]), cells(w, a.shape[1])
+    rows = np.unique(np.concatenate((y, y + 1)))
+    s = _integral(a, rows)
+    at = np.searchsorted(rows, y)
+    fy, fx = (f.reshape(-1, *[1] * (s.ndim - 1 - k)) for k, f in enumerate((fy, fx)))
+    s = s[at] * (1 - fy) + s[at + 1] * fy
+    s = s[:, x] * (1 - fx) + s[:, x + 1] * fx
     return np.diff(np.diff(s, axis=0), axis=1) * (h * w / (a.shape[0] * a.shape[1]))
 
 
@@ -136,34 +172,65 @@ def store_payload(payload: bytes, kind: str = "pgm") -> bytes:
     return encode(a.reshape(-1, WIDTH) if kind == "pgm" else a.reshape(-1, WIDTH, 3), kind)
 
 
-def text_media(df: DataFrame, key: str = "doc_id", text: str = "text", kind: str = "pgm", with_files: bool = False) -> DataFrame:
-    """Stores each row's whole text as an image, reads that back, and returns sizes, digests and features.
+def _fields(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
-    key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature, and with ``with_files`` also media and tile (binary).
-    One row per input row; a null text is empty and gives one unit of padding.
-    Values depend on the text alone.  Other columns are not read.
+
+def with_media(df: DataFrame, key: str = "doc_id", text: str = "text", kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """key, n_bytes (unpadded), kind, media (binary): each row's whole text as an image file.
+
+    One row per input row, null keys and repeated rows included; a null text is
+    empty and gives one unit of padding; an empty table gives no rows.  Kind and
+    bytes depend on the text alone.  Other columns are not read.
     """
     src = df.select(key, text)
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    schema = f"`{key}` {src.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    if with_files:
-        names, kinds, schema = [*names, "media", "tile"], [*kinds, pa.binary(), pa.binary()], schema + ", media binary, tile binary"
-
-    def one(t: str | None) -> tuple:
-        n, payload = text_payload(t)
-        media = store_payload(payload, kind)
-        a = decode(media)
-        back = a.tobytes()
-        row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), dhash(a))
-        return (*row, media, npy_tile(a)) if with_files else row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                cols = zip(*[one(t) for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[key, *names])
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                n, kind, media = [], [], []
+                for t in part.column(1).to_pylist():
+                    size, payload = text_payload(t)
+                    n.append(size)
+                    kind.append(kinds[zlib.crc32(payload) % len(kinds)])
+                    media.append(store_payload(payload, kind[-1]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(kind, pa.string()), pa.array(media, pa.binary())], names=[key, "n_bytes", "kind", "media"])
+
+    return src.mapInArrow(run, f"{_fields(src, [key])}, n_bytes long, kind string, media binary")
+
+
+def describe(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes", "kind"), with_tile: bool = False) -> DataFrame:
+    """The ``keep`` columns, then what the image files in ``media`` hold.
+
+    payload_bytes, payload_sha256 and tail_crc32 (of the last 32 bytes) of the
+    samples in reading order, media_bytes and media_sha256 of the file, width,
+    height, feature (``dhash``) and tile_sha256 (of ``npy_tile``); with
+    ``with_tile`` also tile (binary).  One row per input row.  A null file gives
+    nulls; a broken one fails with ValueError.  Equal files, equal values.
+    """
+    src = df.select(media, *keep)
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature", "tile_sha256", *["tile"] * with_tile]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), *[pa.binary()] * with_tile]
+    said = ["long", "string", "long", "long", "string", "int", "int", "string", "string", *["binary"] * with_tile]
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+
+    def one(file: bytes | None) -> tuple:
+        if file is None:
+            return (None,) * len(names)
+        a = decode(file)
+        back, tile = a.tobytes(), npy_tile(a)
+        row = (len(back), sha(back), zlib.crc32(back[-32:]), len(file), sha(file), a.shape[1], a.shape[0], dhash(a), sha(tile))
+        return (*row, tile) if with_tile else row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = list(zip(*[one(x.as_py()) for x in b.column(0)])) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[*keep, *names])
+
+    return src.mapInArrow(run, ", ".join([_fields(src, list(keep)), *(f"{n} {k}" for n, k in zip(names, said))]))
+
 
-    return src.mapInArrow(run, schema)
+def text_media(df: DataFrame, key: str = "doc_id", text: str = "text", kinds: tuple[str, ...] = KINDS, with_tile: bool = False) -> DataFrame:
+    """``describe`` of ``with_media``: each row's whole text stored as an image, read back and described; a clashing column of ``df`` does no harm."""
+    return describe(with_media(df, key, text, kinds), keep=(key, "n_bytes", "kind"), with_tile=with_tile)
