@@ -30,13 +30,11 @@ SAMPLE_TEXTS, SAMPLE_CHARS = 96, (300, 4000)
 LEVEL, BLOCK = 6, 2048
 #: Bits of difference that count as one unit of odds.
 TEMPER = 12.0
-#: A text with a lower score is rejected.
-MIN_SCORE = 0.3
 #: A text with a narrower margin is rejected: (second-best size - best) / best.  Chosen on training
 #: rows of sf0.01 outside the dictionaries: 98 % have more than 0.078; random letters have at most 0.027.
-MIN_MARGIN = 0.05
+MIN_MARGIN = 0.03
 #: Letters' bytes from which the halves of a text are looked at too.
-HALVES_FROM = 256
+HALVES_FROM = 512
 
 #: Dictionaries by language, the language with most training rows first.
 Model = dict[str, bytes]
@@ -88,13 +86,14 @@ class Classifier:
         b = letters(text) if text and self.langs else b""
         if not b:
             return UNKNOWN, 0.0, False
-        blocks = [b[i : i + BLOCK] for i in range(0, len(b), BLOCK)]
+        step = -(-len(b) // -(-len(b) // BLOCK))  # blocks of one size, so that the halves weigh the same
+        blocks = [b[i : i + step] for i in range(0, len(b), step)]
         each = [[len(z(x)) for x in blocks] for z in self.zs]
         sizes = [sum(x) for x in each]
         best = min(sizes)
         k = sizes.index(best)
         score = 1 / sum(math.exp(min(0.0, (best - s) * 8 * math.log(2) / TEMPER)) for s in sizes)
-        return self.langs[k], score, score >= MIN_SCORE and min(_margin(x, k) for x in (sizes, *self._halves(b, each))) >= MIN_MARGIN
+        return self.langs[k], score, min(_margin(x, k) for x in (sizes, *self._halves(b, each))) >= MIN_MARGIN
 
     def _halves(self, b: bytes, each: list[list[int]]) -> list[list[int]]:
         """Sizes by language of the text's first and second half; nothing for a short text."""
@@ -116,10 +115,10 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
     A null, empty or letterless text is ``und``, score 0, not accepted; ties go
     to the language with most training rows and are not accepted.  One row per
-    input row.
+    input row; a column of ``docs`` with the name of a new one gives way to it.
     """
-    keep = keep or []
-    src = docs.select(key, text, *[k for k in keep if k not in (key, text)])
+    new = ("lang_pred", "score", "accepted")
+    src = docs.select(key, text, *[k for k in keep or [] if k not in (key, text, *new)])
     names = [f.name for f in src.schema]
     more = T.StructType().add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
     schema = T.StructType([*src.schema.fields, *more.fields])

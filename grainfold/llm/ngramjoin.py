@@ -200,14 +200,20 @@ def shingle_rows(active: DataFrame) -> DataFrame:
     return active.select("doc_id", "s1", "s2", "text").mapInArrow(tidy(run), "token long, doc_id long")
 
 
-def star_edges(rows: DataFrame, active: DataFrame) -> DataFrame:
-    """(src, dst): each active set tied to the least active set that has a shingle of its exact prefix in its own."""
-    held = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+def star_edges(rows: DataFrame, active: DataFrame, ws: Workspace) -> DataFrame:
+    """(src, dst): each active set tied to the least active set that has a shingle of its exact prefix in its own.
+
+    Counts by shingle are written before rows meet them, so that adaptive
+    execution may split the rows of one that a third of all sets hold.
+    """
+    held = ws.write(rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "held")
     shared = rows.join(held, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("t"))
     sized = shared.join(active.select("doc_id", "n"), "doc_id")
     room = F.floor(F.col("n") / DEN) + 1 - (F.col("n") - F.size("t"))  # of p, less the shingles that no other set has
     first = sized.where(room > 0).select("doc_id", F.explode(F.slice("t", F.lit(1), room.cast("int"))).alias("x")).select("doc_id", F.col("x.token").alias("token"))
+    first = ws.write(first, "first")
     heads = first.groupBy("token").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").select("token", "head")
+    heads = ws.write(heads, "heads")
     return first.join(heads, "token").where("doc_id <> head").select(F.col("doc_id").alias("src"), F.col("head").alias("dst")).distinct()
 
 
@@ -341,14 +347,14 @@ def _join_families(df: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         src, dst = [], []
         for _, f in pdf.groupby("family", sort=False):
-            sets: dict[int, tuple] = {}
+            sets: dict[tuple, tuple] = {}  # a doc_id may stand with several texts, which are one node
             for doc, s1, s2, label, probe, text in zip(f["doc_id"], f["s1"], f["s2"], f["label"], f["probe"], f["text"]):
                 s = shingle_set(text)
                 if set_key(s) != (s1, s2):  # another row under the same doc_id
                     continue
-                if doc not in sets or probe:
-                    sets[doc] = (s, label, probe)
-            docs, vals = list(sets), list(sets.values())
+                if (doc, s1, s2) not in sets or probe:
+                    sets[doc, s1, s2] = (s, label, probe)
+            docs, vals = [k[0] for k in sets], list(sets.values())
             known: dict[int, int] = {}
             labels = [known.setdefault(v[1], k) for k, v in enumerate(vals)]
             for a, b in link_sets([v[0] for v in vals], labels, [bool(v[2]) for v in vals]):
@@ -368,11 +374,13 @@ def link_families(docs: DataFrame, fam: DataFrame, ws: Workspace, most: int = FA
     total = sizes.agg(F.sum("total"), F.max("total")).first()
     if not total[0]:
         return docs.sparkSession.createDataFrame([], "src long, dst long")
-    bundles = max(1, min(1 << 20, -(-2 * total[0] // most)))
+    bundles = max(1, min(1 << 20, -(-4 * total[0] // most)))
     rows = fam.join(sizes, "family").withColumn("label", F.col("doc_id")).withColumn("probe", F.lit(True))
     small = rows.where(F.col("total") <= most)
-    g = F.struct(F.pmod(F.xxhash64("family"), F.lit(bundles)).alias("f"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))
-    parts = small.withColumn("g", g)
+    # Families of more than a sixteenth of a task's load go alone, so that bundles of the others stay even.
+    alone = F.col("total") * 16 > most
+    f, i = F.when(alone, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(bundles))), F.when(alone, -2).otherwise(-1).cast("long")
+    parts = small.withColumn("g", F.struct(f.alias("f"), i.alias("i"), F.lit(-1).cast("long").alias("j")))
     cols = ["g", "family", "doc_id", "s1", "s2", "label", "probe"]
     large = total[1] > most
     if large:
@@ -407,8 +415,9 @@ def components(docs: DataFrame, most: int = FAMILY_MOST) -> DataFrame:
 
     Texts without a word have an empty set, size 0, and link with nothing.  A
     null doc_id gives a null component and links nothing; repeated rows come
-    back as often as they stand, and are one document.  An empty table gives no
-    rows.  Only doc_id and text are read.
+    back as often as they stand, and are one document; so are rows of one doc_id
+    with different texts, which link with whatever any of these links with.  An
+    empty table gives no rows.  Only doc_id and text are read.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "ngrams")
@@ -422,8 +431,9 @@ def components(docs: DataFrame, most: int = FAMILY_MOST) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     active = ws.write(text.join(some, "doc_id"), "active")
     rows = ws.write(shingle_rows(active), "shingles")
-    families = connected_components(star_edges(rows, active), ws, name="cc-families")
-    ws.drop("shingles")
+    families = connected_components(star_edges(rows, active, ws), ws, name="cc-families")
+    for name in ("shingles", "held", "first", "heads"):
+        ws.drop(name)
     fam = active.select("doc_id", "s1", "s2", "n").distinct().join(families, F.col("doc_id") == F.col("node")).select("doc_id", "s1", "s2", "n", F.col("component").alias("family"))
     links = link_families(active, ws.write(fam, "families"), ws, most)
     cc = connected_components(links, ws, name="cc-links")
@@ -434,9 +444,13 @@ def components(docs: DataFrame, most: int = FAMILY_MOST) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each linked group the one of the least doc_id (repeated rows of it once); rows with a null doc_id stay."""
-    got = components(docs).where("component_id = doc_id").select(F.col("doc_id").alias("kept")).distinct()
-    first = docs.join(got, docs["doc_id"] == F.col("kept"), "left_semi")
+    """The documents that stay: of each linked group the one of the least doc_id.
+
+    Repeated rows (one doc_id, one text) stay once; rows with a null doc_id all
+    stay.  All columns are kept; an empty table gives no rows.
+    """
+    got = components(docs).where("component_id = doc_id").select("component_id").distinct()
+    first = docs.join(got, docs["doc_id"].cast("long") == got["component_id"], "left_semi").dropDuplicates(["doc_id", "text"])
     return first.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -6,32 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainfold.functions import formulas as X
+from grainfold.plans.ranges import running
 from grainfold.plans.workspace import Workspace
 
-#: Values that split the batch for a running count; bounded, so they may travel to the driver.
-CUTS = 64
-
 
 def midpoint_percentile(df: DataFrame, value: str, out: str) -> DataFrame:
     """Adds (rows with a value at most this one - 1/2) / rows, between 0 and 1; a null value gets 1/2.
 
     Values are counted first and numbered within ranges, so no task sees all
-    rows; only the ranges' bounds and totals pass through the driver.
+    rows, nor all values.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    cuts = sorted(set(counts.approxQuantile("v", [k / CUTS for k in range(1, CUTS)], 0.005)))
-    spot = F.lit(0)
-    for c in cuts:
-        spot = spot + (F.col("v") > F.lit(c)).cast("int")
-    ranged = counts.withColumn("range", spot)
-    sums = {r["range"]: r["s"] for r in ranged.groupBy("range").agg(F.sum("c").alias("s")).collect()}
-    before, total = [], 0
-    for k in range(len(cuts) + 1):
-        before.append(total)
-        total += sums.get(k, 0)
-    upto = F.sum("c").over(Window.partitionBy("range").orderBy("v")) + F.get(F.array(*[F.lit(b) for b in before]), F.col("range"))
-    rank = X.clamp((upto - X.num(0.5)) / X.num(max(total, 1)))
-    ranks = ranged.select(F.col("v").alias("__v"), rank.alias("__r"))
+    ws = Workspace(df.sparkSession, "percentile")
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    upto = running(counts, [F.col("__v")], ws, "values", "__c")
+    total = upto.agg(F.max("__upto")).first()[0] or 1
+    ranks = upto.select("__v", X.clamp((F.col("__upto") - X.num(0.5)) / X.num(total)).alias("__r"))
     return df.join(ranks, F.col(value) == F.col("__v"), "left").withColumn(out, F.coalesce("__r", X.num(0.5))).drop("__v", "__r")
 
 
@@ -61,7 +50,7 @@ def best_of(p: DataFrame, group: str, score: str = "composite_score", ord: str =
 
 
 def mark_winners(p: DataFrame, group: str = "duplicate_group") -> DataFrame:
-    """Adds is_group_winner: true for each group's best row, false elsewhere."""
+    """Adds is_group_winner: true for each group's best row, false elsewhere.  ``p`` is read twice: pass a written table."""
     best = best_of(p, group).select(F.col("best").alias("__b"), F.lit(True).alias("__w"))
     return p.join(best, F.col("ord") == F.col("__b"), "left").withColumn("is_group_winner", F.coalesce("__w", F.lit(False))).drop("__b", "__w")
 
@@ -104,33 +93,8 @@ def ranked(p: DataFrame, score: str = "composite_score", ord: str = "ord", carry
     """Adds rank, from 1, of every row by score (highest first, nulls last), then order; and with ``carry`` previous: that column in the row before.
 
     Rows are numbered within ranges of (score, ord), so no task sorts all of
-    them; a score that many rows share is split by order.  Only the ranges'
-    bounds, sizes and last rows pass through the driver.
+    them, and a score that many rows share is split by order.
     """
-    p = Workspace(p.sparkSession, "ranks").write(p, "rows")
-    s, o = F.col(score), F.col(ord)
-    marks = p.approxQuantile(score, [k / CUTS for k in range(1, CUTS)], 0.005)
-    bounds = [s < F.lit(c) for c in set(marks)]
-    if shared := sorted({c for c in marks if marks.count(c) > 1}):
-        parts = F.percentile_approx(ord, [k / CUTS for k in range(1, CUTS)], F.lit(1000)).alias("parts")
-        for r in p.where(s.isin(shared)).groupBy(s.alias("c")).agg(parts).collect():
-            bounds += [(s < F.lit(r["c"])) | ((s == F.lit(r["c"])) & (o > F.lit(x))) for x in set(r["parts"])]
-    spot = F.lit(0)
-    for b in bounds:
-        spot = spot + F.coalesce(b, F.lit(True)).cast("int")
-    p = p.withColumn("__range", spot)
-    last = F.max_by(carry, F.struct(s.isNull(), -s, o)) if carry else F.lit(None)
-    ends = {r["__range"]: r for r in p.groupBy("__range").agg(F.count(F.lit(1)).alias("n"), last.alias("last")).collect()}
-    before, lasts, total, value = [], [], 0, None
-    for k in range(len(bounds) + 1):
-        before.append(total)
-        lasts.append(value)
-        if k in ends:
-            total, value = total + ends[k]["n"], ends[k]["last"]
-    w = Window.partitionBy("__range").orderBy(s.desc_nulls_last(), o)
-    at = F.row_number().over(w)
-    out = p.withColumn("rank", at + F.get(F.array(*[F.lit(b).cast("long") for b in before]), F.col("__range")))
-    if carry:
-        ahead = F.get(F.array(*[F.lit(v).cast(p.schema[carry].dataType) for v in lasts]), F.col("__range"))
-        out = out.withColumn("previous", F.when(at == 1, ahead).otherwise(F.lag(carry).over(w)))
-    return out.drop("__range")
+    ws = Workspace(p.sparkSession, "ranks")
+    out = running(p, [F.col(score).desc_nulls_last(), F.col(ord)], ws, "ranked", carry=carry).withColumnRenamed("__upto", "rank")
+    return out.withColumnRenamed("__previous", "previous") if carry else out

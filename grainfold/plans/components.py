@@ -3,9 +3,10 @@
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).  Each
 round hangs every node under the least neighbour it knows; minima are taken by
 partial aggregation, so a hub with a huge number of neighbours sends one row per
-map task.  The joins that follow are plain equi-joins that adaptive execution
-may split.  Rounds end once every node hangs under a root.  Nothing is collected
-but two flags per round.
+map task.  Edges meet those minima by node and salt: a hub's edges are dealt to
+SALTS tasks, and since neither side of such a join comes from an aggregation on
+its keys, adaptive execution may split a task further.  Rounds end once every
+node hangs under a root.  Nothing is collected but two flags per round.
 """
 
 from __future__ import annotations
@@ -16,23 +17,35 @@ from pyspark.sql import functions as F
 from grainfold.plans.workspace import Workspace
 
 
+#: Tasks that the edges of one node are dealt to, and so copies of each node's minimum.
+SALTS = 8
+
+
+def _with_least(e: DataFrame, end: str, how: str) -> DataFrame:
+    """The edges with m: the least smaller neighbour of the node at ``end``."""
+    low = e.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
+    low = low.withColumn("t", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    salted = e.withColumn("s", F.pmod(F.hash("u", "v"), F.lit(SALTS)))
+    return salted.join(low, (F.col(end) == F.col("n")) & (F.col("s") == F.col("t")), how).select("u", "v", "m")
+
+
 def _large_star(e: DataFrame) -> DataFrame:
-    both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    """Larger neighbours of every node move to the least node it knows (u > v in every edge, so only v has any)."""
+    return _with_least(e, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    low = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct()
+    """A node's smaller neighbours, and itself, move to the least of them."""
+    e = _with_least(e, "u", "inner")
+    moved = e.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionAll(e.select("u", F.col("m").alias("v"))).distinct()
 
 
 def _settled(e: DataFrame) -> bool:
     """Whether every node hangs under exactly one node that hangs under none."""
-    if not e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return False
-    return e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+    one = F.lit(1)
+    ends = e.select(F.col("u").alias("n"), one.alias("up"), F.lit(0).alias("down")).unionAll(e.select(F.col("v").alias("n"), F.lit(0).alias("up"), one.alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, ws: Workspace, src: str = "src", dst: str = "dst", name: str = "cc", max_rounds: int = 60) -> DataFrame:

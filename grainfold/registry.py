@@ -19,17 +19,20 @@ r6 = lambda c: F.round(c, 6)
 
 
 def _coded(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog with codes and without texts, written once."""
     p = photos(spark, sf)
-    return p.join(grouping.text_grid_hash(p).withColumnRenamed("ord", "__o"), F.col("ord") == F.col("__o"), "left").drop("__o")
+    coded = p.drop("text").join(grouping.text_grid_hash(p).withColumnRenamed("ord", "__o"), F.col("ord") == F.col("__o"), "left").drop("__o")
+    return Workspace(spark, "catalog").write(coded, "coded")
 
 
-def _grouped(spark: SparkSession, sf: str) -> DataFrame:
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog scored and grouped, written once."""
     p = _coded(spark, sf)
-    return grouping.add_groups(p, grouping.duplicate_groups(p))
+    return Workspace(spark, "catalog").write(scoring.score(grouping.add_groups(p, grouping.duplicate_groups(p))), "scored")
 
 
 def _culled(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.pre_reject(scoring.mark_winners(scoring.score(_grouped(spark, sf))))
+    return scoring.pre_reject(scoring.mark_winners(_scored(spark, sf)))
 
 
 def score_photos(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,7 +79,7 @@ def live_rerank(spark, sf):
 
 
 def group_winners(spark, sf):
-    p = scoring.score(_grouped(spark, sf)).withColumn("composite_score", r6(F.col("composite_score")))
+    p = _scored(spark, sf).withColumn("composite_score", r6(F.col("composite_score")))
     return scoring.best_of(p, "duplicate_group")
 
 
@@ -135,7 +138,7 @@ def exact_duplicates(spark, sf):
 
 def ranked_group_markers_all(spark, sf):
     """Every photo by score, marked where its group differs from the row before."""
-    p = scoring.score(_grouped(spark, sf)).select("ord", r6(F.col("composite_score")).alias("composite_score"), "duplicate_group")
+    p = _scored(spark, sf).select("ord", r6(F.col("composite_score")).alias("composite_score"), "duplicate_group")
     before = F.col("previous")
     start = F.col("duplicate_group").isNotNull() & (before.isNull() | (before != F.col("duplicate_group")))
     return scoring.ranked(p, carry="duplicate_group").select("ord", "composite_score", "duplicate_group", "rank", start.alias("starts_group"))
