@@ -53,7 +53,7 @@ def _offers(c: Column, radius: int) -> Column:
     def block(k: int) -> Column:
         at, width = BLOCKS[k]
         own = F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        flips = F.array(*[F.lit(x).cast("long") for x in _flips(width, radius)])
+        flips = F.split(F.lit(",".join(map(str, _flips(width, radius)))), ",").cast("array<bigint>")  # folds to one literal, which plans faster than one each
         return F.transform(flips, lambda f: F.struct(F.lit(k).alias("k"), own.bitwiseXOR(f).alias("b")))
 
     return F.concat(*[block(k) for k in range(len(BLOCKS))])
