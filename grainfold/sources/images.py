@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfold.functions import pixels
+from grainfold.functions import jpeg, pixels
 from grainfold.operators.geometry import IMAGES, RAWS, VIDEOS, is_kind
 from grainfold.sources.catalog import MEASURE
 
 #: Decoders by file kind, tried on the content. Others are registered where a codec is at hand.
-DECODERS: dict[bytes, Callable] = {b"\x89PNG": pixels.read_png}
+DECODERS: dict[bytes, Callable] = {b"\x89PNG": pixels.read_png, b"\xff\xd8\xff": jpeg.read_jpeg}
 
 
 def register_decoder(magic: bytes, decode: Callable) -> None:
@@ -23,13 +23,19 @@ def register_decoder(magic: bytes, decode: Callable) -> None:
     DECODERS[magic] = decode
 
 
-def decode(content: bytes, path: str):
-    """The upright picture; ValueError where the file is of an unknown kind or broken."""
+def shown(content: bytes, path: str) -> bytes:
+    """The picture file itself: a raw file's embedded preview, else the content; ValueError where the kind is unknown."""
     ext = path.rpartition(".")[2].lower()
     if ext in RAWS:
-        content = pixels.raw_preview(content)
-    elif ext not in IMAGES:
+        return pixels.raw_preview(content)
+    if ext not in IMAGES:
         raise ValueError(f"unsupported format: {ext}")
+    return content
+
+
+def decode(content: bytes, path: str):
+    """The upright picture; ValueError where the file is of an unknown kind or broken."""
+    content = shown(content, path)
     for magic, read in DECODERS.items():
         if content.startswith(magic):
             return pixels.orient(read(content), pixels.exif(content).get(0x0112, 1) if magic != b"\x89PNG" else 1)
@@ -81,7 +87,7 @@ def measure(files: DataFrame, engines: Callable[[], dict[str, Callable]] | None
                 try:
                     a = decode(r.content, r.path)
                     row |= {
-                        "width": a.shape[1], "height": a.shape[0], "capture_time": pixels.capture_time(r.content), "content_hash": hashlib.sha256(r.content).digest(),
+                        "width": a.shape[1], "height": a.shape[0], "capture_time": pixels.capture_time(shown(r.content, r.path)), "content_hash": hashlib.sha256(r.content).digest(),
                         "perceptual_hash": pixels.dhash(a), "quality": pixels.quality(a),
                     }
                     if "aesthetic" in ai:

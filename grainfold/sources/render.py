@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainfold.functions import pixels
+from grainfold.functions import jpeg, pixels
 from grainfold.operators import geometry
 from grainfold.sources.images import decode
 
 RESULT = "path string, crop_id string, out_path string, width int, height int, bytes binary, ok boolean, error string"
-#: Encoders by output format; JPEG, WebP and text need libraries that are registered where they are at hand.
-ENCODERS: dict[str, Callable] = {"Png": lambda a, quality: pixels.png(a)}
+#: Encoders by output format; WebP and text need libraries that are registered where they are at hand.
+ENCODERS: dict[str, Callable] = {"Png": lambda a, quality: pixels.png(a), "Jpeg": jpeg.jpeg}
 RASTER: dict[str, Callable] = {}
 
 

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from grainfold.functions import formulas as X
-from grainfold.functions import pixels
+from grainfold.functions import jpeg, pixels
 from grainfold.operators import cache, geometry, grouping, persons, scoring, selection
 from grainfold.plans.analyze import Settings, analyze
 from grainfold.plans.components import connected_components
@@ -238,6 +238,50 @@ def test_png_and_exif():
         pixels.raw_preview(bytes(64))
 
 
+def test_jpeg_equals_the_platform_codec(spark, tmp_path):
+    r, io, jvm = np.random.default_rng(5), spark._jvm.javax.imageio.ImageIO, spark._jvm.java.io
+    y, x = np.mgrid[:45, :70]
+    smooth = np.stack([x * 3, y * 5, 255 - x - y], 2).clip(0, 255).astype(np.uint8)
+    for a in (smooth, smooth[:, :, 0], r.integers(0, 256, (17, 9, 3)).astype(np.uint8), np.full((1, 1, 3), 77, np.uint8)):
+        # what another codec wrote (with subsampled colours), read here and by it
+        out = jvm.ByteArrayOutputStream()
+        assert io.write(io.read(jvm.ByteArrayInputStream(pixels.png(a))), "jpg", out)
+        theirs = bytes(out.toByteArray())
+        for name, body in (("theirs", theirs), ("ours", jpeg.jpeg(a, 90))):
+            got = jpeg.read_jpeg(body)
+            assert got.shape == a.shape
+            folder = tmp_path / f"{name}{a.shape}"
+            folder.mkdir()
+            (folder / "x.jpg").write_bytes(body)
+            row = spark.read.format("image").load(f"file://{folder}").select("image.*").first()
+            want = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["nChannels"])[:, :, ::-1]
+            mine = np.repeat(got[:, :, None], want.shape[2], 2) if got.ndim == 2 else got
+            away = np.abs(mine.astype(int) - want)
+            # the other codec smooths subsampled colours, so single samples of noise may differ
+            assert away.mean() < (2 if name == "ours" or a is smooth or a.ndim == 2 else 40), (name, a.shape, away.mean())
+    lossless = jpeg.read_jpeg(jpeg.jpeg(smooth, 100))
+    assert np.abs(lossless.astype(int) - smooth).max() <= 3
+    good = jpeg.jpeg(smooth, 80)
+    for bad in (b"", b"\xff\xd8\xff", good[:200], good[:-300], good.replace(b"\xff\xc0", b"\xff\xc2")):
+        with pytest.raises(ValueError):
+            jpeg.read_jpeg(bad)
+
+
+def test_raw_files_are_measured_by_their_preview(spark, tmp_path):
+    tiff = b"II*\x00\x08\x00\x00\x00\x02\x00" + struct.pack("<HHII", 0x0112, 3, 1, 6) + struct.pack("<HHII", 0x0132, 2, 20, 38) + b"\0\0\0\0" + b"2024:05:06 07:08:09\x00"
+    body = jpeg.jpeg(gradient(64, 32))
+    mark = b"Exif\x00\x00" + tiff
+    body = body[:2] + b"\xff\xe1" + struct.pack(">H", len(mark) + 2) + mark + body[2:]
+    (tmp_path / "a.nef").write_bytes(b"II*\x00" + bytes(100) + body + bytes(9))
+    (tmp_path / "b.jpg").write_bytes(body)
+    (tmp_path / "c.jpg").write_bytes(body[:-200])
+    rows = {r["path"][-5:]: r for r in images.measure(images.scan(spark, [str(tmp_path)])).collect()}
+    for k in ("a.nef", "b.jpg"):
+        assert (rows[k]["width"], rows[k]["height"], rows[k]["error"]) == (32, 64, None)  # turned upright
+        assert rows[k]["capture_time"].timestamp() == 1714979289
+    assert rows["a.nef"]["perceptual_hash"] == rows["b.jpg"]["perceptual_hash"] and "cut short" in rows["c.jpg"]["error"]
+
+
 @given(st.integers(0, 2**64 - 1), st.integers(0, 2**64 - 1))
 @settings(max_examples=50, deadline=None)
 def test_distance_is_symmetric(a, b):
@@ -276,8 +320,9 @@ def test_render_and_write(spark, folder, tmp_path):
     assert len(good) == 9 and len(bad) == 1 and "bad.png" in bad[0]["path"]
     sizes = {p.name: pixels.read_png(p.read_bytes()).shape[:2] for p in (tmp_path / "done/web").iterdir()}
     assert sizes["a.png"] == (300, 400) and sizes["a__ig_sq.png"] == (256, 256) and sizes["c__wide.png"] == (180, 320)
-    none = render.render(files, geometry.Preset(output=geometry.Output("Jpeg"))).where("ok").count()
-    assert none == 0  # no JPEG encoder here: said, not skipped
+    assert render.render(files, geometry.Preset(output=geometry.Output("Jpeg"))).where("ok").count() == 3
+    none = render.render(files, geometry.Preset(output=geometry.Output("WebP"))).where("ok").count()
+    assert none == 0  # no WebP encoder here: said, not skipped
     missing = render.render(files, geometry.Preset(output=geometry.Output("Png"), logos=(geometry.Logo("x"),))).select("error").distinct().collect()
     assert any("logo not found" in r[0] for r in missing)
     assert render.thumbnails(files, 32).where("thumb IS NULL").count() == 1
