@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainfold.plans.workspace import replace_file
+
 SCHEMA_VERSION = 1
 
 
@@ -57,13 +59,7 @@ class CacheTable:
     def put(self, fresh: DataFrame, keys: tuple[str, ...] = ("cache_key", "model_version")) -> None:
         old, v = self.read(), f"v-{uuid.uuid4().hex}"
         (fresh if old is None else upsert(old, fresh, keys)).write.parquet(f"{self.root}/{v}")
-        fs, tmp = self._fs(f"{self.root}/_{v}")
-        out = fs.create(tmp, True)
-        out.write(bytearray(v.encode()))
-        out.close()
-        _, cur = self._fs(f"{self.root}/CURRENT")
-        fs.delete(cur, False)
-        fs.rename(tmp, cur)
+        replace_file(self.spark, f"{self.root}/CURRENT", v.encode())
 
 
 def pending(files: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -15,28 +15,37 @@ SAME_PERSON = 0.5
 
 
 class Leaders:
-    """Centroids of the people seen so far; each row joins the nearest above the threshold, or starts a new one."""
+    """Centroids of the people seen so far; each row joins the nearest above the threshold, or starts a new one.
+
+    Centroids of one length lie in one array that grows by doubling, so that a
+    row meets them in one product; a centroid of another length is no match.
+    """
 
     def __init__(self, threshold: float = SAME_PERSON):
-        self.threshold, self.centroids, self.counts = threshold, [], []
+        self.threshold, self.persons, self.by_size = threshold, 0, {}
 
     def assign(self, e: np.ndarray | None) -> int | None:
         if e is None or not len(e):
             return None
-        best, at = self.threshold, -1
-        sims = [float(c @ e) if len(c) == len(e) else 0.0 for c in self.centroids]
-        for k, s in enumerate(sims):  # strictly greater: the first of equals stays
-            if s > best:
-                best, at = s, k
-        if at < 0:
-            self.centroids.append(e.astype(np.float64))
-            self.counts.append(1)
-            return len(self.centroids) - 1
-        n = self.counts[at]
-        c = (self.centroids[at] * n + e) / (n + 1)
-        norm = float(np.sqrt(c @ c))
-        self.centroids[at], self.counts[at] = (c / norm if norm > 1e-12 else c), n + 1
-        return at
+        centroids, counts, ids = self.by_size.get(len(e), (np.empty((8, len(e))), [], []))
+        n = len(ids)
+        if n:
+            sims = centroids[:n] @ e
+            k = int(sims.argmax())  # the first of equals
+            if sims[k] > self.threshold:
+                c = (centroids[k] * counts[k] + e) / (counts[k] + 1)
+                norm = float(np.sqrt(c @ c))
+                centroids[k] = c / norm if norm > 1e-12 else c
+                counts[k] += 1
+                return ids[k]
+        if n == len(centroids):
+            centroids = np.concatenate([centroids, np.empty_like(centroids)])
+        centroids[n] = e
+        counts.append(1)
+        ids.append(self.persons)
+        self.by_size[len(e)] = centroids, counts, ids
+        self.persons += 1
+        return ids[-1]
 
 
 def cluster_persons(df: DataFrame, threshold: float = SAME_PERSON, batch: str | None = None) -> DataFrame:

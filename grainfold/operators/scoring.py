@@ -89,6 +89,18 @@ def top_n(r: DataFrame, n: int) -> DataFrame:
     return r.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def recommendation_order(r: DataFrame) -> DataFrame:
+    """Adds rank, from 1, of every row within its format by recommendation, then order.
+
+    All formats are numbered in one pass over ranges, and each rank counts from
+    its format's first number: a format with all rows is not one task.
+    """
+    ws = Workspace(r.sparkSession, "recommended")
+    rows = running(r, [F.col("network_id"), F.col("recommendation").desc_nulls_last(), F.col("ord")], ws, "rows")
+    first = ws.write(rows.groupBy(F.col("network_id").alias("__n")).agg(F.min("__upto").alias("__from")), "first")
+    return rows.join(first, F.col("network_id") == F.col("__n")).withColumn("rank", F.col("__upto") - F.col("__from") + 1).drop("__n", "__from", "__upto")
+
+
 def ranked(p: DataFrame, score: str = "composite_score", ord: str = "ord", carry: str | None = None) -> DataFrame:
     """Adds rank, from 1, of every row by score (highest first, nulls last), then order; and with ``carry`` previous: that column in the row before.
 

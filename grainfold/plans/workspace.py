@@ -27,6 +27,20 @@ def shared_root(spark: SparkSession) -> str:
     return conf_dir
 
 
+def replace_file(spark: SparkSession, path: str, body: bytes) -> None:
+    """Writes a small file in one step: under another name, then renamed over the old one, which readers see until then."""
+    fc_type, fs = spark._jvm.org.apache.hadoop.fs.FileContext, spark._jvm.org.apache.hadoop.fs
+    at, tmp = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    conf = spark._jsc.hadoopConfiguration()
+    out = at.getFileSystem(conf).create(tmp, True)
+    out.write(bytearray(body))
+    out.close()
+    rename = getattr(fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    fc_type.getFileContext(at.toUri(), conf).rename(tmp, at, how)
+
+
 class Workspace:
     """Named tables of one plan, below the shared folder; removed when the application ends."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from grainfold import batch_queries
 from grainfold.functions import formulas as X
 from grainfold.operators import cache, geometry, grouping, persons, scoring
 from grainfold.plans.workspace import Workspace
@@ -67,24 +68,19 @@ def composite_custom_weights(spark, sf):
     return scoring.score(photos(spark, sf), CUSTOM).select("ord", r6(F.col("composite_score")).alias("composite_score"))
 
 
-def live_rerank_all(spark, sf):
+def live_rerank(spark, sf):
     """Stored sub-scores under other weights, with the rank of every photo."""
     p = scoring.rescore(scoring.sub_scores(photos(spark, sf)), CUSTOM).select("ord", r6(F.col("composite_score")).alias("composite_score"))
     return scoring.ranked(p)
 
 
-def live_rerank(spark, sf):
-    """The first hundred of ``live_rerank_all``, as its SQL asks."""
-    return live_rerank_all(spark, sf).where("rank <= 100").withColumn("rank", F.col("rank").cast("int"))
-
-
 def group_winners(spark, sf):
     p = _scored(spark, sf).withColumn("composite_score", r6(F.col("composite_score")))
     return scoring.best_of(p, "duplicate_group")
 
 
 def pre_reject(spark, sf):
-    return _culled(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("photos"))
+    return _culled(spark, sf).select("ord", "status")
 
 
 def status_overrides(spark, sf):
@@ -136,7 +132,7 @@ def exact_duplicates(spark, sf):
     return grouping.exact_duplicates(photos(spark, sf))
 
 
-def ranked_group_markers_all(spark, sf):
+def ranked_group_markers(spark, sf):
     """Every photo by score, marked where its group differs from the row before."""
     p = _scored(spark, sf).select("ord", r6(F.col("composite_score")).alias("composite_score"), "duplicate_group")
     before = F.col("previous")
@@ -144,11 +140,6 @@ def ranked_group_markers_all(spark, sf):
     return scoring.ranked(p, carry="duplicate_group").select("ord", "composite_score", "duplicate_group", "rank", start.alias("starts_group"))
 
 
-def ranked_group_markers(spark, sf):
-    """The first hundred of ``ranked_group_markers_all``, as its SQL asks."""
-    return ranked_group_markers_all(spark, sf).where("rank <= 100").withColumn("rank", F.col("rank").cast("int"))
-
-
 def _faces_embedded(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("ord"), "embedding")
 
@@ -253,14 +244,14 @@ def output_paths(spark, sf):
 def output_collisions(spark, sf):
     preset = geometry.Preset(output=geometry.Output(filename_pattern="{name}{ext}"), crops=(geometry.Crop("sq", "square", 256, 256),))
     p = photos(spark, sf).withColumn("path", F.concat(F.col("path").substr(1, 4), F.lit("/"), (F.col("ord") % 700).cast("string"), F.lit(".jpg")))
-    return geometry.plan_outputs(p, preset).groupBy("collides").agg(F.count(F.lit(1)).alias("outputs"))
+    return geometry.plan_outputs(p, preset).select("ord", "crop_id", "out_path", "collides")
 
 
 def media_kinds(spark, sf):
     ext = F.element_at(F.array(*[F.lit(x) for x in ("JPG", "png", "webp", "CR2", "nef", "mp4", "MOV", "txt")]), (F.col("ord") % 8 + 1).cast("int"))
     p = photos(spark, sf).withColumn("path", F.concat(F.lit("a/b."), F.col("ord").cast("string"), F.lit("."), ext))
     kind = F.when(geometry.is_kind(F.col("path"), geometry.IMAGES), "image").when(geometry.is_kind(F.col("path"), geometry.RAWS), "raw").when(geometry.is_kind(F.col("path"), geometry.VIDEOS), "video").otherwise("other")
-    return p.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("files"))
+    return p.select("ord", kind.alias("kind"))
 
 
 def arrival_gaps(spark, sf):
@@ -299,13 +290,13 @@ def preset_outputs(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        score_photos, sharpness_percentile, exposure_score, resolution_score, aesthetic_score, face_bonus, composite_custom_weights, live_rerank, live_rerank_all, group_winners,
+        score_photos, sharpness_percentile, exposure_score, resolution_score, aesthetic_score, face_bonus, composite_custom_weights, live_rerank, group_winners,
         pre_reject, status_overrides, keep_filter, best_photo_per_person, recommend_all_networks, recommend_topn, format_fit, text_grid_dhash, hamming_pairs,
-        duplicate_groups, group_sizes, exact_duplicates, ranked_group_markers, ranked_group_markers_all, cosine_pairs, l2_normalize, cluster_persons, nearest_centroid, aesthetic_distribution,
+        duplicate_groups, group_sizes, exact_duplicates, ranked_group_markers, cosine_pairs, l2_normalize, cluster_persons, nearest_centroid, aesthetic_distribution,
         face_summary, cache_hit_tiers, cache_upsert, resume_pending, batch_metrics, move_plan, resize_targets, center_crop_geometry, logo_placement, output_paths,
         output_collisions, media_kinds, arrival_gaps, event_windows, measured_pictures, rendered_pictures, preset_outputs,
     )
-}
+} | batch_queries.QUERIES
 
 _S = f"WITH {PHOTOS_SQL}, {X.scored_sql()}"
 _G = f"WITH RECURSIVE {PHOTOS_SQL}, {X.scored_sql()}, {grouping.GRID_SQL}, {grouping.PAIRS_SQL}, {grouping.GROUPS_SQL}"
@@ -353,10 +344,9 @@ ORACLES = {
     "aesthetic_score": f"{_S} SELECT ord, round(aesthetic, 6) AS aesthetic FROM scored",
     "face_bonus": f"{_S} SELECT ord, round(face_bonus, 6) AS face_bonus FROM scored",
     "composite_custom_weights": f"WITH {PHOTOS_SQL}, {X.scored_sql(CUSTOM)} SELECT ord, round(composite_score, 6) AS composite_score FROM scored",
-    "live_rerank": f"{_S}, r AS (SELECT ord, round({X.composite_sql(CUSTOM)}, 6) AS composite_score FROM subs) SELECT *, row_number() OVER (ORDER BY composite_score DESC, ord) AS rank FROM r ORDER BY rank LIMIT 100",
-    "live_rerank_all": f"{_S}, r AS (SELECT ord, round({X.composite_sql(CUSTOM)}, 6) AS composite_score FROM subs) SELECT *, row_number() OVER (ORDER BY composite_score DESC, ord) AS rank FROM r",
+    "live_rerank": f"{_S}, r AS (SELECT ord, round({X.composite_sql(CUSTOM)}, 6) AS composite_score FROM subs) SELECT *, row_number() OVER (ORDER BY composite_score DESC, ord) AS rank FROM r",
     "group_winners": f"{_G}{_CULL} SELECT duplicate_group, arg_max(ord, (round(composite_score, 6), -ord)) AS best FROM culled WHERE duplicate_group IS NOT NULL GROUP BY duplicate_group",
-    "pre_reject": f"{_G}{_CULL} SELECT status, count(*) AS photos FROM judged GROUP BY status",
+    "pre_reject": f"{_G}{_CULL} SELECT ord, status FROM judged",
     "status_overrides": f"{_S}{_OVER} SELECT ord, path, status FROM over",
     "keep_filter": f"{_S}{_OVER} SELECT ord, path FROM over WHERE status <> 'Reject'",
     "best_photo_per_person": f"{_S} SELECT ord % 17 AS person_id, arg_max(ord, (round(composite_score, 6), -ord)) AS best FROM scored WHERE ord % 3 <> 0 GROUP BY 1",
@@ -368,10 +358,7 @@ ORACLES = {
     "duplicate_groups": f"{_G} SELECT ord, duplicate_group FROM grouped",
     "group_sizes": f"{_G} SELECT duplicate_group, count(*) AS photos FROM grouped GROUP BY duplicate_group",
     "exact_duplicates": f"WITH {PHOTOS_SQL} SELECT content_hash, count(*) AS copies, min(ord) AS first_ord FROM photos WHERE content_hash IS NOT NULL GROUP BY content_hash HAVING count(*) > 1",
-    "ranked_group_markers": f"""{_G}, p AS (SELECT s.ord, round(s.composite_score, 6) AS composite_score, g.duplicate_group FROM scored s LEFT JOIN grouped g ON g.ord = s.ord ORDER BY 2 DESC, 1 LIMIT 100)
-      SELECT ord, composite_score, duplicate_group, row_number() OVER w AS rank, duplicate_group IS NOT NULL AND (lag(duplicate_group) OVER w IS NULL OR lag(duplicate_group) OVER w <> duplicate_group) AS starts_group
-      FROM p WINDOW w AS (ORDER BY composite_score DESC, ord)""",
-    "ranked_group_markers_all": f"""{_G}, p AS (SELECT s.ord, round(s.composite_score, 6) AS composite_score, g.duplicate_group FROM scored s LEFT JOIN grouped g ON g.ord = s.ord)
+    "ranked_group_markers": f"""{_G}, p AS (SELECT s.ord, round(s.composite_score, 6) AS composite_score, g.duplicate_group FROM scored s LEFT JOIN grouped g ON g.ord = s.ord)
       SELECT ord, composite_score, duplicate_group, row_number() OVER w AS rank, duplicate_group IS NOT NULL AND (lag(duplicate_group) OVER w IS NULL OR lag(duplicate_group) OVER w <> duplicate_group) AS starts_group
       FROM p WINDOW w AS (ORDER BY composite_score DESC, ord)""",
     "cosine_pairs": f"WITH e AS (SELECT vec_id AS ord, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.ord AS a, b.ord AS b, list_dot_product(a.e, b.e) AS s FROM e a JOIN e b ON a.ord < b.ord) SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= {COSINE_LEAST}::DOUBLE",
@@ -406,8 +393,8 @@ ORACLES = {
       b AS (SELECT *, least(greatest(floor(tw * 0.5::DOUBLE + 0.5::DOUBLE), 1), height) AS th FROM a)
       SELECT ord, greatest(least(floor(width * 0.95::DOUBLE - tw / 2.0::DOUBLE + 0.5::DOUBLE), width - tw), 0)::INT AS logo_x, greatest(least(floor(height * 0.05::DOUBLE - th / 2.0::DOUBLE + 0.5::DOUBLE), height - th), 0)::INT AS logo_y, tw::INT AS logo_width, th::INT AS logo_height FROM b""",
     "output_paths": f"WITH {PHOTOS_SQL} SELECT ord, 'out/' || regexp_extract(path, '^(.*)/', 1) || '/' || ord || '_web.jpg' AS out_path, 'out/' || regexp_extract(path, '^(.*)/', 1) || '/' || ord || '__ig_feed_4_5_web.jpg' AS crop_path FROM photos",
-    "output_collisions": f"WITH {PHOTOS_SQL}, o AS (SELECT unnest(['out/' || (ord % 700) || '.jpg', 'out/' || (ord % 700) || '__sq.jpg']) AS p FROM photos), n AS (SELECT p, count(*) AS n FROM o GROUP BY p) SELECT n > 1 AS collides, sum(n)::BIGINT AS outputs FROM n GROUP BY 1",
-    "media_kinds": f"WITH {PHOTOS_SQL} SELECT CASE ord % 8 WHEN 0 THEN 'image' WHEN 1 THEN 'image' WHEN 2 THEN 'image' WHEN 3 THEN 'raw' WHEN 4 THEN 'raw' WHEN 5 THEN 'video' WHEN 6 THEN 'video' ELSE 'other' END AS kind, count(*) AS files FROM photos GROUP BY 1",
+    "output_collisions": f"WITH {PHOTOS_SQL}, o AS (SELECT ord, NULL AS crop_id, 'out/' || (ord % 700) || '.jpg' AS out_path FROM photos UNION ALL SELECT ord, 'sq', 'out/' || (ord % 700) || '__sq.jpg' FROM photos) SELECT *, count(*) OVER (PARTITION BY out_path) > 1 AS collides FROM o",
+    "media_kinds": f"WITH {PHOTOS_SQL} SELECT ord, CASE ord % 8 WHEN 0 THEN 'image' WHEN 1 THEN 'image' WHEN 2 THEN 'image' WHEN 3 THEN 'raw' WHEN 4 THEN 'raw' WHEN 5 THEN 'video' WHEN 6 THEN 'video' ELSE 'other' END AS kind FROM photos",
     "event_windows": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "rendered_pictures": "WITH d AS (SELECT doc_id, 32 AS width, greatest(1, ceil(strlen(coalesce(text, '')) / 32.0::DOUBLE))::INT AS height FROM documents), s AS (SELECT doc_id, "
     + _target_sql("t", _px("width", _fit(64, 64)), _px("height", _fit(64, 64))) + """ FROM d), o AS (SELECT *, unnest([NULL, 'sq']) AS crop_id FROM s)
@@ -417,4 +404,4 @@ ORACLES = {
       SELECT ord, NULL AS crop_id, t_w AS width, t_h AS height, 'web/' || ord || '.png' AS out_path FROM t
       UNION ALL SELECT ord, 'sq', 256, 256, 'web/' || ord || '__sq.png' FROM t UNION ALL SELECT ord, 'tall', 1080, 1920, 'web/' || ord || '__tall.png' FROM t""",
     "arrival_gaps": "WITH g AS (SELECT event_type, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) SELECT event_type, count(*) AS close_arrivals FROM g WHERE gap <= 30000000 GROUP BY event_type",
-}
+} | batch_queries.oracles(_S, _FITS, _target_sql)

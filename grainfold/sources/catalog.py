@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 QUALITY = "struct<sharpness_raw:double,clipped_highlights_pct:double,clipped_shadows_pct:double,mean_luma:double,contrast:double>"
 MEASURE = f"ord long, path string, file_size long, modified timestamp, width int, height int, capture_time timestamp, content_hash binary, perceptual_hash long, quality {QUALITY}, aesthetic struct<mean:double,std_dev:double>, faces struct<count:int,largest_face_frac:double,main_face_centered:double>, embedding array<float>, error string"
@@ -37,6 +38,17 @@ def network(spark: SparkSession, net_id: str) -> DataFrame:
     return networks(spark).where(F.col("id") == net_id)
 
 
+def to_json_records(records: DataFrame) -> DataFrame:
+    """(json): each row as one JSON object; null fields are left out."""
+    return records.select(F.to_json(F.struct(*records.columns)).alias("json"))
+
+
+def from_json_records(lines: DataFrame, schema: StructType | str = MEASURE) -> DataFrame:
+    """Rows of ``schema`` from (json); fields that a record lacks are null, and a broken record fails."""
+    s = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    return lines.select(F.from_json("json", s, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,11 +8,12 @@ import time
 
 from pyspark.sql import SparkSession
 
-from grainfold.operators.geometry import Preset
+from grainfold.operators.geometry import NO_NAME, Preset
+from grainfold.plans.workspace import replace_file
 from grainfold.sources.presets import to_json
 
 
-def sanitize(name: str, empty: str = "untitled") -> str:
+def sanitize(name: str, empty: str = NO_NAME) -> str:
     """Letters, digits, ``_`` and ``-``; anything else becomes ``_``."""
     return "".join(c if c.isalnum() or c in "_-" else "_" for c in name) or empty
 
@@ -26,14 +27,7 @@ class Library:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def _write(self, name: str, body: bytes) -> None:
-        """Under another name first, then moved into place."""
-        fs, tmp = self._at(f"{name}.tmp")
-        out = fs.create(tmp, True)
-        out.write(bytearray(body))
-        out.close()
-        _, p = self._at(name)
-        fs.delete(p, False)
-        fs.rename(tmp, p)
+        replace_file(self.spark, f"{self.root}/{name}", body)
 
     def _read(self, name: str) -> bytes | None:
         fs, p = self._at(name)

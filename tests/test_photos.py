@@ -16,7 +16,7 @@ from grainfold.functions import jpeg, pixels
 from grainfold.operators import cache, geometry, grouping, persons, scoring, selection
 from grainfold.plans.analyze import Settings, analyze
 from grainfold.plans.components import connected_components
-from grainfold.plans.workspace import Workspace
+from grainfold.plans.workspace import Workspace, replace_file
 from grainfold.sources import images, presets, render, video
 from grainfold.sources.catalog import network, networks
 from grainfold.sources.library import Library
@@ -175,7 +175,9 @@ def test_paths(spark):
     assert value(spark, geometry.output_path(p, geometry.Output(folder="o", preserve_structure=True), F.lit("ig 4:5"))) == "o/trip/a.b__ig_4_5.jpg"
     assert value(spark, geometry.output_path(F.lit("x.MOV"), geometry.Output(folder="o"))) == "o/x.mp4"
     assert value(spark, geometry.escape_drawtext(F.lit("a:b'c%"))) == "a\\:b\\\\\\'c\\%"
-    assert geometry.video_filter(geometry.Adjust()) is None and "colorbalance" in geometry.video_filter(geometry.Adjust(temperature=0.5))
+    assert geometry.video_adjust(geometry.Adjust()) == []
+    eq, balance = geometry.video_adjust(geometry.Adjust(brightness=2, temperature=0.5))
+    assert value(spark, eq) == "eq=brightness=1.0000:contrast=1.0000:saturation=1.0000" and value(spark, balance) == "colorbalance=rm=0.1500:bm=-0.1500"
     assert value(spark, geometry.clock(F.lit(61_500_000))) == "1:01"
 
 
@@ -387,6 +389,36 @@ def test_selection(spark):
     assert [r["v"] for r in selection.zip_by_order(q, spark.createDataFrame([(2, "x")], "ord long, v string")).orderBy("ord").collect()] == [None, "x", None]
 
 
+def test_leaders_equal_a_loop():
+    rng = np.random.default_rng(3)
+    near = rng.normal(size=(20, 40))
+    rows = [None, np.empty(0), *[(v := near[k] + rng.normal(size=40) * 0.3) / np.sqrt(v @ v) for k in rng.integers(0, 20, 120)], np.ones(3) / np.sqrt(3), np.ones(3) / np.sqrt(3)]
+    people, want = [], []
+    for e in rows:
+        if e is None or not len(e):
+            want.append(None)
+            continue
+        sims = [(float(c @ e), -k) for k, (c, _) in enumerate(people) if len(c) == len(e)]
+        if sims and max(sims)[0] > 0.5:
+            k = -max(sims)[1]
+            c = (people[k][0] * people[k][1] + e) / (people[k][1] + 1)
+            people[k] = (c / np.sqrt(c @ c), people[k][1] + 1)
+        else:
+            k = len(people)
+            people.append((e, 1))
+        want.append(k)
+    leaders = persons.Leaders(0.5)
+    assert [leaders.assign(e) for e in rows] == want and len(people) > 8
+
+
+def test_replaced_file_is_whole(spark, tmp_path):
+    at = f"file://{tmp_path}/deep/POINTER"
+    for body in (b"one", b"two, longer", b""):
+        replace_file(spark, at, body)
+        assert (tmp_path / "deep/POINTER").read_bytes() == body
+    assert not list((tmp_path / "deep").glob("*.tmp"))
+
+
 def test_video_graph(spark):
     p = geometry.Preset(logos=(geometry.Logo("l", 0.25, background_rgba=(0, 0, 0, 128)),), texts=(geometry.TextMark("{filename}: x"),), adjust=geometry.Adjust(contrast=0.2))
     g = value(spark, geometry.video_graph(F.lit(1921), F.lit(1081), F.lit(80), F.lit(40), p, "/f.ttf", F.lit("clip")))
