@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfold.llm import bpe, chat, decontam, langid, licenses, linedup, media, ngramjoin, tokencount, warc
+from grainfold.llm import alignment, bpe, chat, decontam, langid, lexical, licenses, linedup, media, ngramjoin, sampling, tokencount, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, rank, doc_id, score: the 20 best documents for each benchmark item."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
+    return sampling.compare_edited(_table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -79,6 +94,9 @@ QUERIES = {
     "op8_token_count": op8_token_count,
     "op9_ngram_join": op9_ngram_join,
     "op10_warc": op10_warc,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_alignment": op13_alignment,
 }
 
 
@@ -90,4 +108,5 @@ def oracles() -> dict[str, str]:
         "op7_licenses": licenses.oracle_sql(),
         "op9_ngram_join": ngramjoin.ORACLE_SQL,
         "op10_warc": warc.ORACLE_SQL,
+        "op11_lexical_search": lexical.ORACLE_SQL,
     }
