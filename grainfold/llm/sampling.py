@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from grainfold.plans.ranges import running
 from grainfold.plans.workspace import Workspace
 
-SAMPLES, WORDS = 48, 5
+SAMPLES, WORDS = 40, 5
 #: A term is one number: hash above, weight in the lower WEIGHT_BITS bits; heavier terms weigh 2^20 - 1.
 WEIGHT_BITS = 20
 CUT = 20.0
@@ -39,7 +39,7 @@ _MOST = (1 << WEIGHT_BITS) - 1
 
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, A-Z lower-cased; null and white texts have none."""
-    return F.filter(F.split(F.translate(text, _UPPER, _LOWER), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), r"[\x20\x09-\x0D]+", -1), "")
 
 
 def _shingles(column: str) -> str:
@@ -105,7 +105,8 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", samples
     src = df.select(F.col(key).alias("__k"), F.coalesce(text, F.lit("")).alias("__t"))
     src = with_terms(src.withColumn("__h", F.xxhash64("__t")), {"__own": "__t"}).drop("__t")
     src = src.withColumn("__bound", _bound("__own"))
-    got = signatures(src.select("__k", "__h", "__bound", F.explode("__own").alias("__x")), ["__k", "__h"], "__x", "__bound", samples)
+    one = src.select("__k", "__h", "__bound", F.explode(F.array("__own")).alias("__p"))  # else a filter on the array's size moves below and makes it again for each element
+    got = signatures(one.select("__k", "__h", "__bound", F.explode("__p").alias("__x")), ["__k", "__h"], "__x", "__bound", samples)
     return got.select(F.col("__k").alias(key), _symbols(lambda d: F.col(f"s{d}"), samples).alias("fingerprint"))
 
 
@@ -126,21 +127,26 @@ def _neighbours(docs: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def edited(docs: DataFrame, ws: Workspace, part: int = 4) -> DataFrame:
-    """(id, next, n, text, edited): texts with their last floor(n / part) code points replaced by the first as many of the next document's.
+    """(k0, k1, next, n, text, edited): texts with their last floor(n / part) code points replaced by the first as many of the next document's.
 
     Only ids are ordered.  The beginnings that are asked for meet the texts on
-    the next document's id; of several texts of that id the least counts.
+    the next document's id; of several texts of that id the least counts.  k0 and
+    k1 are the id and whether it is null; rows lie by them.
     """
     sized = docs.select("id", F.char_length("text").cast("long").alias("n"))
-    pairs = _neighbours(sized, ws)
-    asked = pairs.select(F.col("id").alias("asker"), F.col("next").alias("giver"), F.floor(F.col("n") / part).cast("int").alias("take"))
-    tails = docs.join(asked, F.col("id") == F.col("giver")).select("asker", F.substring("text", F.lit(1), F.col("take")).alias("tail"))
-    tails = tails.groupBy("asker").agg(F.min("tail").alias("tail"))
-    out = docs.join(tails, F.col("id").eqNullSafe(F.col("asker")), "left").drop("asker").withColumn("n", F.char_length("text"))
+    asked = _neighbours(sized, ws).select(*_keys("id", "a"), "next", *_keys("next", "g"), F.floor(F.col("n") / part).cast("int").alias("take"))
+    keyed = docs.select(*_keys("id", "k"), "text")
+    tails = keyed.join(asked, (F.col("k0") == F.col("g0")) & (F.col("k1") == F.col("g1"))).select("a0", "a1", "next", F.substring("text", F.lit(1), F.col("take")).alias("tail"))
+    tails = tails.groupBy("a0", "a1").agg(F.min("tail").alias("tail"), F.min("next").alias("next"))
+    out = keyed.join(tails, (F.col("k0") == F.col("a0")) & (F.col("k1") == F.col("a1"))).withColumn("n", F.char_length("text"))
     cut = F.floor(F.col("n") / part).cast("int")
-    whole = F.concat(F.substring("text", F.lit(1), F.col("n") - cut), F.substring(F.coalesce("tail", F.lit("")), F.lit(1), cut))
-    nexts = pairs.select(F.col("id").alias("k"), "next")
-    return out.join(nexts, F.col("id").eqNullSafe(F.col("k"))).select("id", "next", F.col("n").cast("long").alias("n"), "text", whole.alias("edited"))
+    whole = F.concat(F.substring("text", F.lit(1), F.col("n") - cut), F.substring("tail", F.lit(1), cut))
+    return out.select("k0", "k1", "next", F.col("n").cast("long").alias("n"), "text", whole.alias("edited"))
+
+
+def _keys(id_: str, name: str) -> list[Column]:
+    """An id as two columns without nulls, so that every step can use one partitioning."""
+    return [F.coalesce(id_, F.lit(0).cast("long")).alias(f"{name}0"), F.col(id_).isNull().alias(f"{name}1")]
 
 
 def compare_edited(df: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -150,22 +156,23 @@ def compare_edited(df: DataFrame, key: str = "doc_id", text: str = "text", sampl
     texts, so that their fingerprints are equal.  Repeated rows (one id, one
     text) come back once; rows of one id with different texts are documents of
     their own with one next document, and where that has several texts the least
-    one is taken.  A null id comes after no document; its next is the first.  A
+    one is taken.  A null id comes after no document; its next is the first
+    (where all are null, the least text, with which near_next is 0).  A
     lone document is its own next.  An empty table gives no rows.  Only ``key``
     and ``text`` are read.
     """
     spark = df.sparkSession
     ws = Workspace(spark, "sampling")
     docs = df.select(F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = edited(docs, ws).select("id", "next", "n", F.xxhash64("text").alias("h"), F.sha2("edited", 256).alias("sha"), "text", "edited")
+    rows = edited(docs, ws).select("k0", "k1", "next", "n", F.xxhash64("text").alias("h"), F.sha2("edited", 256).alias("sha"), "text", "edited")
     rows = with_terms(rows, {"own": "text", "new": "edited"}).drop("text", "edited")
     rows = rows.withColumn("bound", F.greatest(_bound("own"), _bound("new")))
     kept = [F.struct(F.lit(k).alias("k"), x.alias("x")) for k, x in enumerate((F.array_intersect("own", "new"), F.array_except("own", "new"), F.array_except("new", "own")))]
-    by = ["id", "next", "n", "h", "sha"]
+    by = ["k0", "k1", "next", "n", "h", "sha"]
     parts = rows.select(*by, "bound", F.explode(F.array(*kept)).alias("p")).select(*by, "bound", F.col("p.k").alias("k"), F.explode("p.x").alias("x"))
     sampled = signatures(parts, [*by, "k"], "x", "bound", samples)
     each = sampled.groupBy(*by).agg(*[F.min(F.when(F.col("k") != off, F.col(f"s{d}"))).alias(f"{c}{d}") for c, off in (("a", 2), ("b", 1)) for d in range(samples)])
-    prints = each.select(*by, _symbols(lambda d: F.col(f"a{d}"), samples).alias("own"), _symbols(lambda d: F.col(f"b{d}"), samples).alias("new"))
+    prints = each.select(F.when(~F.col("k1"), F.col("k0")).alias("id"), "next", "n", "sha", _symbols(lambda d: F.col(f"a{d}"), samples).alias("own"), _symbols(lambda d: F.col(f"b{d}"), samples).alias("new"))
     prints = ws.write(prints, "prints")
     after = prints.groupBy(F.col("id").alias("i")).agg(F.min("own").alias("after"))
     out = prints.join(after, F.col("next") == F.col("i"), "left")
