@@ -247,7 +247,8 @@ def _codes(freq: np.ndarray) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
     for d in range(len(lengths) - 1, 16, -1):  # pairs of too long codes move under a shorter one
         while lengths[d]:
             up = next(k for k in range(d - 2, 0, -1) if lengths[k])
-            lengths[d], lengths[d - 1], lengths[up], lengths[up + 1] = lengths[d] - 2, lengths[d - 1] + 1, lengths[up] - 1, lengths[up + 1] + 2
+            for at, more in ((d, -2), (d - 1, 1), (up, -1), (up + 1, 2)):  # one after another: up + 1 may be d - 1
+                lengths[at] += more
     order = sorted((s for s in depth if s < 256), key=lambda s: (depth[s], s))
     longest = max(d for d in range(17) if lengths[d])
     lengths[longest] -= 1  # the stand-in

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from grainfold.functions import jpeg, pixels
 from grainfold.operators import geometry
+from grainfold.plans.workspace import Workspace
 from grainfold.sources.images import decode
 
 RESULT = "path string, crop_id string, out_path string, width int, height int, bytes binary, ok boolean, error string"
@@ -96,33 +97,53 @@ def _text(a, t: geometry.TextMark, name: str | None):
     return pixels.blend(base, mark, x, y, t.opacity)
 
 
+TAKEN = "several outputs have this path"
+
+
+def _clashes(files: DataFrame, outs: list[Column]) -> DataFrame:
+    """(path, taken): the output paths of each file that other outputs have too; made of paths alone, and written."""
+    ws = Workspace(files.sparkSession, "render")
+    each = files.select(F.col("path").alias("__path"), F.explode(F.array(*outs)).alias("__out"))
+    twice = ws.write(each.groupBy("__out").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__out"), "twice")
+    return ws.write(each.join(twice, "__out").groupBy("__path").agg(F.collect_set("__out").alias("taken")), "taken")
+
+
 def render(files: DataFrame, p: geometry.Preset, logos: dict[str, bytes] | None = None) -> DataFrame:
     """RESULT rows of (path, content): the principal file and one per crop, all from one decode.
 
     Logos (their files) are few and travel once.  A file that fails gives one
     row with ``ok`` false; the others go on.  Outputs that would share a path
-    are marked as errors, not overwritten.
+    are errors, all of them, and nothing is overwritten.  Which they are is found
+    from paths; contents are shuffled only where that list is too long to broadcast.
     """
     shared = files.sparkSession.sparkContext.broadcast(logos or {})
-    cols = [geometry.output_path(F.col("path"), p.output).alias("main"), *[geometry.output_path(F.col("path"), p.output, F.lit(c.id)).alias(f"crop_{k}") for k, c in enumerate(p.crops)]]
+    outs = [geometry.output_path(F.col("path"), p.output), *[geometry.output_path(F.col("path"), p.output, F.lit(c.id)) for c in p.crops]]
+    cols = [o.alias("main" if k == 0 else f"crop_{k - 1}") for k, o in enumerate(outs)]
+    files = files.join(_clashes(files, outs), F.col("path") == F.col("__path"), "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = {k: decode(v, f"{k}.png") for k, v in shared.value.items()}
         for f in frames:
             rows = []
             for r in f.to_dict("records"):
+                taken = set() if r["taken"] is None else set(r["taken"])
                 try:
                     name = r["path"].replace("\\", "/").rpartition("/")[2].rpartition(".")[0]
                     whole = compose(decode(r["content"], r["path"]), p, known, name)
                     made = [(None, r["main"], whole)]
                     made += [(c.id, r[f"crop_{k}"], pixels.center_crop(whole, c.width, c.height)) for k, c in enumerate(p.crops)]
-                    rows += [(r["path"], c, o, a.shape[1], a.shape[0], encode(a, p.output.format, p.output.quality), True, None) for c, o, a in made]
+                    for c, o, a in made:
+                        if o in taken:
+                            rows.append((r["path"], c, o, None, None, None, False, TAKEN))
+                        else:
+                            rows.append((r["path"], c, o, a.shape[1], a.shape[0], encode(a, p.output.format, p.output.quality), True, None))
                 except Exception as e:  # noqa: BLE001  one bad file must not end the batch
+                    rows = [x for x in rows if x[0] != r["path"]]
                     rows.append((r["path"], None, r["main"], None, None, None, False, f"{type(e).__name__}: {e}"))
             out = pd.DataFrame(rows, columns=["path", "crop_id", "out_path", "width", "height", "bytes", "ok", "error"])
             yield out.astype({"width": "Int32", "height": "Int32"})
 
-    return files.select("path", "content", *cols).mapInPandas(run, RESULT)
+    return files.select("path", "content", "taken", *cols).mapInPandas(run, RESULT)
 
 
 def write_files(rendered: DataFrame, root: str) -> DataFrame:
