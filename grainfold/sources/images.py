@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from grainfold.functions import jpeg, pixels
 from grainfold.operators.geometry import IMAGES, RAWS, VIDEOS, is_kind
 from grainfold.sources.catalog import MEASURE
+from grainfold.sources.folders import listing, read_file
 
 #: Decoders by file kind, tried on the content. Others are registered where a codec is at hand.
 DECODERS: dict[bytes, Callable] = {b"\x89PNG": pixels.read_png, b"\xff\xd8\xff": jpeg.read_jpeg}
@@ -61,23 +62,33 @@ def scan(spark: SparkSession, roots: list[str], with_content: bool = True) -> Da
     """ord, path, file_size, modified (and content) of the media files below files and folders, ordered by path.
 
     ``ord`` is made from the path, so that it does not depend on how files are
-    listed: it orders as a hash does, the same in every run.
+    listed: it orders as a hash does, the same in every run.  Without contents
+    no file is opened, and tasks list the folders.
     """
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots))
-    df = df.where(is_kind(F.col("path"), (*IMAGES, *RAWS, *VIDEOS))).dropDuplicates(["path"]) if len(roots) > 1 else df.where(is_kind(F.col("path"), (*IMAGES, *RAWS, *VIDEOS)))
-    cols = [F.xxhash64("path").alias("ord"), "path", F.col("length").alias("file_size"), F.col("modificationTime").alias("modified")]
-    return df.select(*cols, *(["content"] if with_content else []))
+    if with_content:
+        df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots)).withColumnsRenamed({"length": "file_size", "modificationTime": "modified"})
+        df = df.dropDuplicates(["path"]) if len(roots) > 1 else df
+    else:
+        df = listing(spark, roots)
+    df = df.where(is_kind(F.col("path"), (*IMAGES, *RAWS, *VIDEOS)))
+    return df.select(F.xxhash64("path").alias("ord"), "path", "file_size", "modified", *(["content"] if with_content else []))
 
 
-def measure(files: DataFrame, engines: Callable[[], dict[str, Callable]] | None = None) -> DataFrame:
+def measure(files: DataFrame, engines: Callable[[], dict[str, Callable]] | None = None, models_only: bool = False) -> DataFrame:
     """One row per file, as MEASURE; a file that fails has its ``error`` and no measures.
 
+    Files without a ``content`` column are opened by the task that measures them,
+    so that contents are never shuffled.  With ``models_only`` the measures that
+    need no model are left null.
+
     ``engines`` is called once per worker process and may give ``aesthetic``
     (picture -> (mean, std_dev)), ``faces`` (picture -> (count, frac, centered))
     and ``embedding`` (picture -> list).  An engine that is missing leaves its
     columns null.  Pixels do not leave the stage.
     """
 
+    held = "content" in files.columns
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ai = engines() if engines else {}
         for f in frames:
@@ -85,11 +96,13 @@ def measure(files: DataFrame, engines: Callable[[], dict[str, Callable]] | None
             for r in f.itertuples(index=False):
                 row = {"ord": r.ord, "path": r.path, "file_size": r.file_size, "modified": r.modified, "error": None}
                 try:
-                    a = decode(r.content, r.path)
-                    row |= {
-                        "width": a.shape[1], "height": a.shape[0], "capture_time": pixels.capture_time(shown(r.content, r.path)), "content_hash": hashlib.sha256(r.content).digest(),
-                        "perceptual_hash": pixels.dhash(a), "quality": pixels.quality(a),
-                    }
+                    content = r.content if held else read_file(r.path)
+                    a = decode(content, r.path)
+                    if not models_only:
+                        row |= {
+                            "width": a.shape[1], "height": a.shape[0], "capture_time": pixels.capture_time(shown(content, r.path)), "content_hash": hashlib.sha256(content).digest(),
+                            "perceptual_hash": pixels.dhash(a), "quality": pixels.quality(a),
+                        }
                     if "aesthetic" in ai:
                         row["aesthetic"] = dict(zip(("mean", "std_dev"), ai["aesthetic"](a)))
                     if "faces" in ai:
@@ -104,9 +117,9 @@ def measure(files: DataFrame, engines: Callable[[], dict[str, Callable]] | None
             for c in ("content_hash", "quality", "aesthetic", "faces", "embedding"):  # None, not NaN, where there is nothing
                 out[c] = pd.Series([x.get(c) for x in rows], dtype=object)
             for c in ("width", "height"):
-                out[c] = out[c].astype("Int32")
+                out[c] = pd.array([x.get(c) for x in rows], "Int32")
             out["perceptual_hash"] = pd.array([x.get("perceptual_hash") for x in rows], "Int64")
-            out["capture_time"] = pd.to_datetime(out["capture_time"], utc=True)
+            out["capture_time"] = pd.to_datetime(pd.Series([x.get("capture_time") for x in rows], dtype=object), utc=True)
             yield out
 
     return files.mapInPandas(run, MEASURE)

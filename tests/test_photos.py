@@ -17,7 +17,7 @@ from grainfold.operators import cache, geometry, grouping, persons, scoring, sel
 from grainfold.plans.analyze import Settings, analyze
 from grainfold.plans.components import connected_components
 from grainfold.plans.workspace import Workspace, replace_file
-from grainfold.sources import images, presets, render, video
+from grainfold.sources import folders, images, presets, render, video
 from grainfold.sources.catalog import network, networks
 from grainfold.sources.library import Library
 from grainfold.streaming import watch
@@ -311,6 +311,53 @@ def test_analysis_of_a_folder(spark, folder, tmp_path):
         assert rows["c.png"]["quality"]["sharpness_raw"] > rows["a.png"]["quality"]["sharpness_raw"]
 
 
+def test_warm_analysis_opens_no_known_file(spark, folder, tmp_path):
+    t = cache.CacheTable(spark, f"file://{tmp_path}/cache")
+    pick = lambda df: {r["path"].rpartition("/")[2]: (r["content_hash"], r["quality"], r["aesthetic_mean"]) for r in df.collect()}
+    cold = pick(analyze(spark, [str(folder)], Settings(), t)[0])
+    assert all(x[2] is None for x in cold.values())
+    model = pick(analyze(spark, [str(folder)], Settings(model_version=1), t, lambda: {"aesthetic": lambda a: (5.0, 1.0)})[0])
+    assert {k: (*v[:2], 5.0) for k, v in cold.items()} == model  # the partial tier: only the model's measures are new
+    for f in folder.rglob("*"):
+        if f.is_file() and f.name in cold:
+            at = f.stat()
+            f.write_bytes(bytes(at.st_size))
+            os.utime(f, ns=(at.st_atime_ns, at.st_mtime_ns))
+    assert pick(analyze(spark, [str(folder)], Settings(), t)[0]) == cold  # an older model's entries are still there
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    for k, name in enumerate(["r/a.png", "r/x/b.png", "r/x/y/c.png", "r/x/y/z/d.png", "r/x/y/z/w/e.png", "s/f.png"]):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(bytes(k + 1))
+    roots = [f"{tmp_path}/r", f"file://{tmp_path}/s", f"{tmp_path}/r/x"]
+    got = folders.listing(spark, roots)
+    assert sorted((Path(r["path"]).name, r["file_size"]) for r in got.collect()) == [(f"{c}.png", k + 1) for k, c in enumerate("abcdef")]
+    theirs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{tmp_path}/r").select("path", "length").collect()
+    one = folders.listing(spark, roots[:1])
+    assert sorted((r["path"], r["file_size"]) for r in one.collect()) == sorted(map(tuple, theirs))
+    assert sorted(r["file_size"] for r in one.where("file_size >= 2 AND path LIKE '%.png' AND file_size < 4").collect()) == [2, 3]
+    assert folders.listing(spark, []).count() == 0
+    assert [folders.read_file(r["path"]) for r in one.where("file_size = 3").collect()] == [bytes(3)]
+
+
+def test_outputs_of_one_path_are_errors(spark, tmp_path):
+    for name, v in (("a/0.png", 10), ("a/sub/0.png", 90), ("a/1.png", 50)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(pixels.png(np.full((20, 30, 3), v, np.uint8)))
+    out = render.render(images.scan(spark, [f"{tmp_path}/a"]), geometry.Preset(output=geometry.Output("Png", folder="web"), crops=(geometry.Crop("sq", "square", 8, 8),)))
+    rows = sorted((Path(r["path"]).name, r["crop_id"] or "", r["ok"], r["error"]) for r in out.collect())
+    assert rows == [("0.png", "", False, render.TAKEN)] * 2 + [("0.png", "sq", False, render.TAKEN)] * 2 + [("1.png", "", True, None), ("1.png", "sq", True, None)]
+
+
+@pytest.mark.parametrize("quality", [50, 85, 95, 100])
+def test_jpeg_of_a_grainy_photo(quality):
+    r = np.random.default_rng(quality)
+    a = np.clip(gradient(800, 600).astype(int) + r.integers(-32, 33, (600, 800, 3)), 0, 255).astype(np.uint8)
+    body = jpeg.jpeg(a, quality)
+    assert body[:2] == b"\xff\xd8" and body[-2:] == b"\xff\xd9"
+
+
 def test_render_and_write(spark, folder, tmp_path):
     preset = geometry.Preset(
         resize=geometry.Resize(width=400, height=400), output=geometry.Output("Png", folder="web"), logos=(geometry.Logo("l", 0.2),), crops=(geometry.Crop("ig sq", "square", 256, 256), geometry.Crop("wide", "wide", 320, 180)),
