@@ -5,10 +5,16 @@ symbols.  Each round finds the lowest-ranked pair of every piece at once, merges
 all its places in all pieces at once (every other place where they overlap, from
 the left), and closes the gaps; pieces without a pair are done.  A merge can make
 only pairs of higher rank, so this equals merging one place at a time.
+
+A piece of more than LONG bytes would go through as many rounds as it has ranks,
+each over its whole length.  It is merged by itself, rank by rank too, but from
+lists of each rank's places: a round visits its own places and adds those of the
+pairs it makes.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -24,6 +30,8 @@ from grainfold.llm.pieces import WordMemo
 #: The pattern of the byte-level pre-tokenizer (a fixed value of the file format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NONE = np.int32(2**31 - 1)
+#: Bytes from which a piece is merged by itself.
+LONG = 1024
 _COUNTERS: dict[str, "Counter"] = {}
 
 
@@ -48,6 +56,7 @@ class Counter:
         new = np.array([vocab[a + b] for a, b in merges], np.int64)
         order = np.argsort(key, kind="stable")
         self.keys, self.order, self.new = key[order], order.astype(np.int32), new
+        self.pair_of, self.rank_of = key, {}
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.memo = WordMemo(PATTERN, self._count_pieces)
 
@@ -74,6 +83,9 @@ class Counter:
         """One byte per token of each piece."""
         out, at = [], 0
         raw = [p.encode() for p in pieces]
+        if any(len(r) > LONG for r in raw):
+            short = iter(self._count_pieces([p for p, r in zip(pieces, raw) if len(r) <= LONG]))
+            return [bytes(self._merge_long(r)) if len(r) > LONG else next(short) for r in raw]
         while at < len(raw):
             end, size = at, 0
             while end < len(raw) and (size == 0 or size + len(raw[end]) <= 1 << 20):
@@ -83,6 +95,38 @@ class Counter:
             at = end
         return out
 
+    def _merge_long(self, raw: bytes) -> int:
+        """Symbols that are left of one piece; places that a merge has taken away are passed over when their rank comes."""
+        if not self.rank_of:
+            self.rank_of = {k: r for r, k in enumerate(self.pair_of.tolist())}
+        start = self.byte_ids[np.frombuffer(raw, np.uint8)]
+        rank = self._rank(start[:-1], start[1:])
+        by = np.argsort(rank, kind="stable")
+        ranks, cuts = np.unique(rank[by], return_index=True)
+        places = {r: p.tolist() for r, p in zip(ranks.tolist(), np.split(by, cuts[1:])) if r < _NONE}
+        sym, n = start.tolist(), len(start)
+        ahead, back, left = list(range(1, n + 1)), list(range(-1, n - 1)), n
+        todo = sorted(places)
+        while todo:
+            r = heapq.heappop(todo)
+            a, b = divmod(int(self.pair_of[r]), 1 << 20)
+            new = int(self.new[r])
+            for i in sorted(places.pop(r)):
+                j = ahead[i]
+                if sym[i] != a or j >= n or sym[j] != b:
+                    continue
+                k = ahead[i] = ahead[j]
+                sym[i], sym[j], left = new, -1, left - 1
+                if k < n:
+                    back[k] = i
+                for p, q in ((back[i], i), (i, k)):
+                    if p >= 0 and q < n and (m := self.rank_of.get(sym[p] << 20 | sym[q])) is not None:
+                        if m not in places:
+                            places[m] = []
+                            heapq.heappush(todo, m)
+                        places[m].append(p)
+        return left
+
     def _merge(self, raw: list[bytes]) -> np.ndarray:
         counts = np.fromiter(map(len, raw), np.int64, len(raw))
         sym = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]

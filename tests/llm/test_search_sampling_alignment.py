@@ -195,3 +195,22 @@ def test_windows_do_not_change_the_sweep():
             s.window([x[e // width == w] for x, e in zip(ids, ends)], [x.lengths for x in sides])
         got.append((s.n, s.groups, s.digest.hexdigest(), np.sort(np.concatenate(s.held)).tolist()))
     assert all(g == got[0] for g in got) and got[0][1] > 100
+
+
+# ---- 8: long pieces ----
+
+
+def test_long_pieces_count_as_the_library_does():
+    r = np.random.default_rng(8)
+    letters = lambda n, k: "".join(map(chr, r.integers(97, 97 + k, n)))
+    texts = [letters(200_000, 26), letters(3000, 2), "a" * 5001, "ab" * 2500 + "é" * 900, "one " + letters(1024, 26) + " two " + letters(1025, 26), "漢字" * 2000, ""]
+    library = Tokenizer.from_file(A)
+    assert tokencount.counter(A).count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_counts_of_an_empty_table_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b"), (None, None)], DOCS).selectExpr("doc_id", "text", "'x' AS n_tokens", "0 AS over_limit")
+    got = tokencount.count_tokens(df, A)
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, 3, 2, False), (None, 0, 0, False)]
+    assert tokencount.count_tokens(df.limit(0), A).count() == 0
