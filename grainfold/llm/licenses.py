@@ -93,6 +93,15 @@ OTHERS = [
     "The public library of the foundation is open in general.", "Conditions of use apply to any copy.", "The software was released in version 3 last year.", "He obtained a driving license under the new law.",
     "The common source of the law is the public.", "Permission to print is required.", "International commerce and the creative person.", "Terms of the program are published later.", "Use of this file without permission is not permitted.",
 ]
+#: Notices of licences that are near a family above and are none of it (fixed values): the unknown class learns them, and their words.
+NEIGHBOURS = [
+    "Licensed under the GNU Affero General Public License, version 3.", "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License.", "SPDX-License-Identifier: AGPL-3.0",
+    "Licensed under the GNU Lesser General Public License, version 2.1.", "Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License.",
+    "Licensed under the Eclipse Public License, version 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "Licensed under CC BY-ND 4.0.", "This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY 3.0.", "This work is licensed under the Creative Commons Attribution 3.0 Unported License.",
+    "This is free and unencumbered software released into the public domain.", "Licensed under the Artistic License 2.0.",
+]
 #: Words that carry nothing (fixed values).
 STOP = {"the", "of", "to", "and", "or", "a", "an", "in", "is", "by", "for", "with", "this", "any", "are", "that", "it", "you", "as", "may", "not", "at", "be", "on", "all", "has", "can"}
 LEAST_PROBABILITY, LEAST_COVER = 0.5, 0.6
@@ -132,10 +141,11 @@ class Model:
 
     def __init__(self):
         self.classes = [*TEMPLATES, UNKNOWN]
-        vocabulary = sorted({x for ts in TEMPLATES.values() for t in ts for x in words(t)} - STOP)
+        vocabulary = sorted({x for ts in (*TEMPLATES.values(), NEIGHBOURS) for t in ts for x in words(t)} - STOP)
         self.vocabulary, self.known = vocabulary, set(vocabulary)
         rows = [(w, c) for c, ts in enumerate(TEMPLATES.values()) for k, t in enumerate(ts) for w in _variations(t, k + c)]
         rows += [(words(t), len(TEMPLATES)) for t in OTHERS] * 3 + [([x], len(TEMPLATES)) for x in vocabulary] * 2  # a word alone tells no family
+        rows += [(words(t), len(TEMPLATES)) for t in NEIGHBOURS]
         rows += [([], len(TEMPLATES))] * 4
         self.features = sorted({g for w, _ in rows for g in self._grams(w)})
         self.at = {g: i for i, g in enumerate(self.features)}

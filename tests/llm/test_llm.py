@@ -431,6 +431,20 @@ def test_wrapped_licences_are_found(spark):
         assert all(got.get(d) == {f} for d, x in want.items() if x == f and rows[d][1].count("\n") > 4)
 
 
+def test_neighbouring_licences_are_not_named():
+    own = [
+        "This program is licensed under the GNU Affero General Public License version 3.", "You may use this file under the terms of the GNU Affero General Public License.",
+        "The text is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Available under CC BY-ND 4.0.", "This code is released under the 2-clause BSD license.",
+        "Use of this source code is governed by the BSD 2-Clause License.", "Permission to use, copy, modify and distribute this software for any purpose with or without fee is granted.",
+        "Licensed under the ISC license.", "Distributed under the Eclipse Public License v. 2.0.", "This file is subject to the terms of the Eclipse Public License, v. 2.0.",
+        "Text is available under the Creative Commons Attribution 3.0 License.", "This library is licensed under the GNU Lesser General Public License version 2.1.", "Released under the Artistic License version 2.0.",
+    ]
+    for t in [*own, *licenses.NEIGHBOURS]:
+        family, p = licenses.model().predict(t)
+        assert family == licenses.UNKNOWN or p < licenses.LEAST_PROBABILITY or licenses.cover(t, family) < licenses.LEAST_COVER, t
+    assert not set(own) & set(licenses.NEIGHBOURS)
+
+
 def test_licence_probabilities_are_calibrated():
     m = licenses.model()
     assert licenses.GRID[0] < m.temperature < licenses.GRID[-1] and m.predict("")[0] == m.predict("xyz qwerty")[0] == licenses.UNKNOWN
