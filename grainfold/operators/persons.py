@@ -1,4 +1,4 @@
-"""People from face embeddings: cosine pairs, leader clustering, nearest centroid."""
+"""People from face embeddings: cosine pairs, leader clustering in one pass or two phases, nearest centroid."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainfold.functions.formulas import cosine
+from grainfold.operators.metric import similar_pairs
+from grainfold.plans.ranges import running
+from grainfold.plans.workspace import Workspace
 
 SAME_PERSON = 0.5
 
@@ -73,22 +76,95 @@ def cluster_persons(df: DataFrame, threshold: float = SAME_PERSON, batch: str |
 
 
 def cosine_pairs(df: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity): pairs of unit embeddings of at least ``least``, exact.
+    """(a, b, similarity): pairs of unit embeddings of at least ``least``, exact, by ``metric.similar_pairs``."""
+    return similar_pairs(df, least)
 
-    Vectors are dealt into bands along one axis: unit vectors of similarity s lie
-    within sqrt(2 - 2 s) of each other in every coordinate, so a partner is in
-    the same band or the next.  The axis is the one that spreads the rows most.
+
+#: Rows of a block of ``cluster_persons_two_phase``, and blocks at least.
+BLOCK_ROWS, LEAST_BLOCKS = 100_000, 8
+
+
+def person_block(n: int) -> Column:
+    """The block of a row of ``ord`` among ``n`` rows."""
+    return F.pmod(F.xxhash64("ord"), F.lit(max(LEAST_BLOCKS, -(-n // BLOCK_ROWS)))).cast("int")
+
+
+def _joined(leaders: DataFrame, links: DataFrame, ws: Workspace) -> DataFrame:
+    """(ord, head) of the leaders that join another: the greedy choice of heads, in rounds over all links at once.
+
+    In each round the leaders that no undecided one precedes are heads, and what
+    is linked with them is taken; the others wait.  The number of rounds is that
+    of the longest chain of such waits, about the logarithm of the leaders where their
+    order is as good as random.
     """
-    e = df.where(F.size("embedding") > 0).select(F.col("ord"), F.col("embedding").alias("e"))
-    width = float(np.sqrt(max(2 - 2 * least, 1e-9)))
-    dims = e.select(F.max(F.size("e"))).first()[0] or 1
-    spread = e.select(*[F.stddev(F.get("e", F.lit(k)).cast("double")).alias(str(k)) for k in range(dims)]).first()
-    axis = max(range(dims), key=lambda k: spread[str(k)] or 0.0)
-    own = F.floor(F.coalesce(F.get("e", F.lit(axis)).cast("double"), F.lit(0.0)) / (width * (1 + 1e-9)))
-    a = e.select(F.col("ord").alias("a"), F.col("e").alias("x"), own.alias("band"), own.alias("k"))
-    b = e.select(F.col("ord").alias("b"), F.col("e").alias("y"), own.alias("own")).withColumn("k", F.explode(F.array(F.col("own"), F.col("own") - 1)))
-    hit = a.join(b, "k").where("own > band OR a < b").withColumn("similarity", cosine(F.col("x"), F.col("y"))).where(F.col("similarity") >= least)
-    return hit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    size = lambda c: leaders.select(F.col("ord").alias(c), F.col("rows").alias(f"n{c}"))
+    both = links.join(size("a"), "a").join(size("b"), "b")
+    first = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    turn = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    links = ws.write(both.select(turn("a", "b").alias("p"), turn("b", "a").alias("s"), "similarity"), "links")
+    wait, taken, k = links.select("p", "s"), None, 0
+    while not wait.isEmpty():
+        waiting = wait.select("s").distinct()
+        heads = ws.write(wait.select("p").distinct().join(waiting, F.col("p") == F.col("s"), "left_anti"), f"heads-{k}")
+        now = ws.write(wait.join(heads, "p", "left_semi").select(F.col("s").alias("t")).distinct(), f"taken-{k}")
+        taken = now if taken is None else taken.unionAll(now)
+        rest = wait.join(now, F.col("p") == F.col("t"), "left_anti").join(now, F.col("s") == F.col("t"), "left_anti")
+        wait, k = ws.write(rest, f"wait-{k}"), k + 1
+    if taken is None:
+        return leaders.select("ord", F.col("ord").alias("head")).limit(0)
+    taken = ws.write(taken, "taken")
+    ends = links.select(F.col("p").alias("head"), F.col("s").alias("ord"), "similarity").unionAll(links.select(F.col("s").alias("head"), F.col("p").alias("ord"), "similarity"))
+    mine = ends.join(taken, F.col("ord") == F.col("t"), "left_semi").join(taken, F.col("head") == F.col("t"), "left_anti")
+    return mine.groupBy("ord").agg((-F.max(F.struct("similarity", (-F.col("head")).alias("h")))["h"]).alias("head"))
+
+
+def cluster_persons_two_phase(df: DataFrame, threshold: float = SAME_PERSON) -> DataFrame:
+    """(ord, person_id): leader clustering in blocks, whose leaders are then merged; no task sees all rows.
+
+    The rule: rows are dealt to blocks by a hash of ``ord``; each block is
+    clustered in the order of ``ord`` as by ``cluster_persons``.  Leaders (the last
+    centroids) are linked where their similarity is above ``threshold`` (which
+    must be above 0).  Taken by the number of their rows, the largest first, and
+    by their first row, a leader that is linked with no earlier head is a head;
+    any other joins the linked head most similar to it, the first row deciding
+    equals.  So nothing is chained: every leader of a person is linked with its head.
+    Persons are numbered from 0 by the first row of their head.  The result is
+    not that of one pass, as blocks see other rows first.  A null or empty
+    embedding has no person; ids should be unique and not null.
+    """
+    ws = Workspace(df.sparkSession, "persons")
+    rows = ws.write(df.select(F.col("ord").cast("long").alias("ord"), F.col("embedding").cast("array<double>").alias("embedding")), "rows")
+    has = rows.where(F.size("embedding") > 0)
+    dealt = has.withColumn("block", person_block(has.count())).repartition("block").sortWithinPartitions("block", "ord")
+
+    def leaders(now: int, found: Leaders, first: dict[int, int]) -> pd.DataFrame:
+        at = {ids[k]: list(c[k]) for c, _, ids in found.by_size.values() for k in range(len(ids))}
+        rows = {ids[k]: counts[k] for _, counts, ids in found.by_size.values() for k in range(len(ids))}
+        return pd.DataFrame({"block": now, "person": list(at), "ord": [first[k] for k in at], "rows": [rows[k] for k in at], "centroid": list(at.values())})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, found, first = None, None, {}
+        for f in frames:
+            for block, g in f.groupby("block"):  # rows come sorted by it
+                if block != now:
+                    if now is not None:
+                        yield leaders(now, found, first)
+                    now, found, first = block, Leaders(threshold), {}
+                who = [found.assign(np.asarray(e, np.float64)) for e in g["embedding"]]
+                for k, o in zip(who, g["ord"]):
+                    first.setdefault(k, o)
+                yield pd.DataFrame({"block": block, "person": who, "ord": g["ord"].to_numpy(), "rows": 1, "centroid": None})
+        if now is not None:
+            yield leaders(now, found, first)
+
+    seen = ws.write(dealt.mapInPandas(run, "block int, person int, ord long, rows long, centroid array<double>"), "blocks")
+    found, members = seen.where("centroid IS NOT NULL"), seen.where("centroid IS NULL").select("block", "person", "ord")
+    links = similar_pairs(found, threshold, vector="centroid").where(F.col("similarity") > threshold)
+    joined = _joined(found.select("ord", "rows"), links, ws)
+    named = ws.write(found.select("block", "person", "ord").join(joined, "ord", "left").select("block", "person", F.coalesce("head", "ord").alias("head")), "named")
+    numbers = running(named.select("head").distinct(), [F.col("head")], ws, "numbers").select("head", (F.col("__upto") - 1).cast("int").alias("person_id"))
+    who = members.join(named.join(numbers, "head"), ["block", "person"]).select("ord", "person_id")
+    return who.unionAll(rows.where("embedding IS NULL OR size(embedding) = 0").select("ord", F.lit(None).cast("int").alias("person_id")))
 
 
 def nearest_centroid(df: DataFrame, centroids: list[tuple[int, list[float]]], threshold: float = SAME_PERSON) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grainfold import batch_queries
 from grainfold.functions import formulas as X
-from grainfold.operators import cache, geometry, grouping, persons, scoring
+from grainfold.operators import cache, geometry, grouping, metric, persons, scoring
 from grainfold.plans.workspace import Workspace
 from grainfold.sources import render
 from grainfold.sources.catalog import PHOTOS_SQL, networks, photos, table
@@ -158,6 +158,15 @@ def cluster_persons(spark, sf):
     return persons.cluster_persons(_faces_embedded(spark, sf), 0.3)
 
 
+def cluster_persons_two_phase(spark, sf):
+    return persons.cluster_persons_two_phase(_faces_embedded(spark, sf), 0.3)
+
+
+def cosine_blocks(spark, sf):
+    """What the join of ``cosine_pairs`` compares, and the share of its largest block."""
+    return metric.block_report(_faces_embedded(spark, sf), COSINE_LEAST)
+
+
 def nearest_centroid(spark, sf):
     e = _faces_embedded(spark, sf)
     c = [(r["ord"], r["embedding"]) for r in e.where("ord < 8").orderBy("ord").collect()]
@@ -292,7 +301,7 @@ QUERIES = {
     for f in (
         score_photos, sharpness_percentile, exposure_score, resolution_score, aesthetic_score, face_bonus, composite_custom_weights, live_rerank, group_winners,
         pre_reject, status_overrides, keep_filter, best_photo_per_person, recommend_all_networks, recommend_topn, format_fit, text_grid_dhash, hamming_pairs,
-        duplicate_groups, group_sizes, exact_duplicates, ranked_group_markers, cosine_pairs, l2_normalize, cluster_persons, nearest_centroid, aesthetic_distribution,
+        duplicate_groups, group_sizes, exact_duplicates, ranked_group_markers, cosine_pairs, l2_normalize, cluster_persons, cluster_persons_two_phase, cosine_blocks, nearest_centroid, aesthetic_distribution,
         face_summary, cache_hit_tiers, cache_upsert, resume_pending, batch_metrics, move_plan, resize_targets, center_crop_geometry, logo_placement, output_paths,
         output_collisions, media_kinds, arrival_gaps, event_windows, measured_pictures, rendered_pictures, preset_outputs,
     )
