@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainfold.functions.formulas import cosine
 from grainfold.plans.workspace import Workspace
 
 #: Rows that a cell should hold, pivots of one cut at least and at most, rows of a block's side.
@@ -184,6 +185,24 @@ def similar_pairs(df: DataFrame, least: float, id: str = "ord", vector: str = "e
     return side(x).cogroup(side(y)).applyInPandas(lambda f, g: _compare(f, g, least), _PAIRS)
 
 
+def similar_classes(df: DataFrame, least: float, id: str = "ord", vector: str = "embedding") -> DataFrame:
+    """(id, head, links): the class of equal vectors that a row is in, by its least id, and with how many rows ``similar_pairs`` would pair it.
+
+    Only heads are compared, so that copies cost no pairs.  A row without a
+    usable vector has a null head and no links.
+    """
+    ws = Workspace(df.sparkSession, "classes")
+    rows = ws.write(df.select(F.col(id).cast("long").alias(id), F.col(vector).cast("array<double>").alias("v")), "rows")
+    usable = F.col(id).isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)) & F.exists("v", lambda x: x != 0)
+    heads = ws.write(rows.where(usable).groupBy("v").agg(F.min(id).alias("head"), F.count(F.lit(1)).alias("n")), "heads")  # written, so that a hot vector's join can be split
+    pairs = ws.write(similar_pairs(heads, least, "head", "v").select("a", "b"), "pairs")
+    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    met = both.join(heads.select(F.col("head").alias("b"), "n"), "b").groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("met"))
+    own = F.when(cosine(F.col("v"), F.col("v")) >= least, F.col("n") - 1).otherwise(0)
+    counted = ws.write(heads.join(met, "head", "left").select("v", "head", (F.coalesce("met", F.lit(0)) + own).alias("links")), "counted")
+    return rows.join(counted, "v", "left").select(id, "head", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+
+
 def block_report(df: DataFrame, least: float, id: str = "ord", vector: str = "embedding") -> DataFrame:
     """One row of what ``similar_pairs`` compares: rows, copies, blocks, compared pairs, share_of_all pairs, largest_share of a block."""
     x, y, _ = blocks(df, least, id, vector)

@@ -162,6 +162,11 @@ def cluster_persons_two_phase(spark, sf):
     return persons.cluster_persons_two_phase(_faces_embedded(spark, sf), 0.3)
 
 
+def cosine_classes(spark, sf):
+    """``cosine_pairs`` as a class and a number of links for each row; copies are not expanded."""
+    return metric.similar_classes(_faces_embedded(spark, sf), COSINE_LEAST)
+
+
 def cosine_blocks(spark, sf):
     """What the join of ``cosine_pairs`` compares, and the share of its largest block."""
     return metric.block_report(_faces_embedded(spark, sf), COSINE_LEAST)
@@ -301,7 +306,7 @@ QUERIES = {
     for f in (
         score_photos, sharpness_percentile, exposure_score, resolution_score, aesthetic_score, face_bonus, composite_custom_weights, live_rerank, group_winners,
         pre_reject, status_overrides, keep_filter, best_photo_per_person, recommend_all_networks, recommend_topn, format_fit, text_grid_dhash, hamming_pairs,
-        duplicate_groups, group_sizes, exact_duplicates, ranked_group_markers, cosine_pairs, l2_normalize, cluster_persons, cluster_persons_two_phase, cosine_blocks, nearest_centroid, aesthetic_distribution,
+        duplicate_groups, group_sizes, exact_duplicates, ranked_group_markers, cosine_pairs, l2_normalize, cluster_persons, cluster_persons_two_phase, cosine_blocks, cosine_classes, nearest_centroid, aesthetic_distribution,
         face_summary, cache_hit_tiers, cache_upsert, resume_pending, batch_metrics, move_plan, resize_targets, center_crop_geometry, logo_placement, output_paths,
         output_collisions, media_kinds, arrival_gaps, event_windows, measured_pictures, rendered_pictures, preset_outputs,
     )
@@ -370,6 +375,7 @@ ORACLES = {
     "ranked_group_markers": f"""{_G}, p AS (SELECT s.ord, round(s.composite_score, 6) AS composite_score, g.duplicate_group FROM scored s LEFT JOIN grouped g ON g.ord = s.ord)
       SELECT ord, composite_score, duplicate_group, row_number() OVER w AS rank, duplicate_group IS NOT NULL AND (lag(duplicate_group) OVER w IS NULL OR lag(duplicate_group) OVER w <> duplicate_group) AS starts_group
       FROM p WINDOW w AS (ORDER BY composite_score DESC, ord)""",
+    "cosine_classes": f"WITH e AS (SELECT vec_id AS ord, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.ord AS a, b.ord AS b FROM e a JOIN e b ON a.ord <> b.ord WHERE list_dot_product(a.e, b.e) >= {COSINE_LEAST}::DOUBLE), n AS (SELECT a, count(*) AS links FROM p GROUP BY a) SELECT e.ord, min(e.ord) OVER (PARTITION BY e.e) AS head, coalesce(n.links, 0) AS links FROM e LEFT JOIN n ON n.a = e.ord",
     "cosine_pairs": f"WITH e AS (SELECT vec_id AS ord, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.ord AS a, b.ord AS b, list_dot_product(a.e, b.e) AS s FROM e a JOIN e b ON a.ord < b.ord) SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= {COSINE_LEAST}::DOUBLE",
     "l2_normalize": "WITH e AS (SELECT vec_id AS ord, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings), n AS (SELECT ord, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM e) SELECT ord, round(list_dot_product(e, e), 6) AS length, round(e[1], 6) AS first FROM n",
     "nearest_centroid": """WITH e AS (SELECT vec_id AS ord, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.ord, b.ord AS k, list_dot_product(a.e, b.e) AS s FROM e a JOIN e b ON b.ord < 8),

@@ -119,3 +119,12 @@ def test_two_phase_of_nulls_and_nothing(spark):
     df = spark.createDataFrame([(3, None), (4, []), (5, [1.0, 0.0]), (6, [1.0, 0.0])], SCHEMA)
     assert {r["ord"]: r["person_id"] for r in persons.cluster_persons_two_phase(df).collect()} == {3: None, 4: None, 5: 0, 6: 0}
     assert persons.cluster_persons_two_phase(df.limit(0)).count() == 0
+
+
+def test_classes_count_the_links_of_copies(spark):
+    v = np.concatenate([np.tile([[0.6, 0.8]], (30, 1)), units(np.random.default_rng(8), 50, 2)])
+    df = table(spark, v).unionAll(spark.createDataFrame([(100, None), (101, [])], SCHEMA))
+    got = {r["ord"]: (r["head"], r["links"]) for r in metric.similar_classes(df, 0.97).collect()}
+    near = brute(v, 0.97)
+    want = {k: (0 if k < 30 else k, sum(k in p for p in near)) for k in range(80)} | {100: (None, 0), 101: (None, 0)}
+    assert got == want
