@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grainfold import batch_queries
 from grainfold.functions import formulas as X
-from grainfold.operators import cache, geometry, grouping, metric, persons, scoring
+from grainfold.operators import cache, geometry, grouping, increments, metric, persons, scoring, slices
 from grainfold.plans.workspace import Workspace
 from grainfold.sources import render
 from grainfold.sources.catalog import PHOTOS_SQL, networks, photos, table
@@ -74,6 +74,13 @@ def live_rerank(spark, sf):
     return scoring.ranked(p)
 
 
+def ranking_slice(spark, sf):
+    """Places 101 to 160 of the stored ranking, a view of it: only their parts are opened."""
+    p = scoring.score(photos(spark, sf)).select("ord", r6(F.col("composite_score")).alias("composite_score"))
+    stored = slices.Ranking.store(scoring.ranked(p), f"{Workspace(spark, 'ranking').path}/stored")
+    return stored.slice(101, 160)
+
+
 def group_winners(spark, sf):
     p = _scored(spark, sf).withColumn("composite_score", r6(F.col("composite_score")))
     return scoring.best_of(p, "duplicate_group")
@@ -124,6 +131,16 @@ def duplicate_groups(spark, sf):
     return grouping.duplicate_groups(_coded(spark, sf))
 
 
+def incremental_groups(spark, sf):
+    """``duplicate_groups`` of photos that come in two batches, a tenth of them in the second."""
+    p = _coded(spark, sf)
+    kept = increments.GroupIndex(spark, f"{Workspace(spark, 'kept').path}/groups")
+    late = F.xxhash64("ord") % 10 == 0
+    kept.add(p.where(~late))
+    kept.add(p.where(late))
+    return kept.groups()
+
+
 def group_sizes(spark, sf):
     return grouping.duplicate_groups(_coded(spark, sf)).groupBy("duplicate_group").agg(F.count(F.lit(1)).alias("photos"))
 
@@ -305,8 +322,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         score_photos, sharpness_percentile, exposure_score, resolution_score, aesthetic_score, face_bonus, composite_custom_weights, live_rerank, group_winners,
-        pre_reject, status_overrides, keep_filter, best_photo_per_person, recommend_all_networks, recommend_topn, format_fit, text_grid_dhash, hamming_pairs,
-        duplicate_groups, group_sizes, exact_duplicates, ranked_group_markers, cosine_pairs, l2_normalize, cluster_persons, cluster_persons_two_phase, cosine_blocks, cosine_classes, nearest_centroid, aesthetic_distribution,
+        pre_reject, status_overrides, keep_filter, best_photo_per_person, recommend_all_networks, recommend_topn, format_fit, text_grid_dhash, hamming_pairs, ranking_slice,
+        duplicate_groups, incremental_groups, group_sizes, exact_duplicates, ranked_group_markers, cosine_pairs, l2_normalize, cluster_persons, cluster_persons_two_phase, cosine_blocks, cosine_classes, nearest_centroid, aesthetic_distribution,
         face_summary, cache_hit_tiers, cache_upsert, resume_pending, batch_metrics, move_plan, resize_targets, center_crop_geometry, logo_placement, output_paths,
         output_collisions, media_kinds, arrival_gaps, event_windows, measured_pictures, rendered_pictures, preset_outputs,
     )
@@ -370,6 +387,8 @@ ORACLES = {
     "text_grid_dhash": f"WITH {PHOTOS_SQL}, {grouping.GRID_SQL} SELECT ord, lower(printf('%016x', h)) AS code FROM hashed",
     "hamming_pairs": f"WITH {PHOTOS_SQL}, {grouping.GRID_SQL}, {grouping.PAIRS_SQL} SELECT src, dst FROM pairs",
     "duplicate_groups": f"{_G} SELECT ord, duplicate_group FROM grouped",
+    "incremental_groups": f"{_G} SELECT ord, duplicate_group FROM grouped",
+    "ranking_slice": f"{_S}, r AS (SELECT ord, round(composite_score, 6) AS composite_score FROM scored), n AS (SELECT *, row_number() OVER (ORDER BY composite_score DESC, ord) AS rank FROM r) SELECT * FROM n WHERE rank BETWEEN 101 AND 160",
     "group_sizes": f"{_G} SELECT duplicate_group, count(*) AS photos FROM grouped GROUP BY duplicate_group",
     "exact_duplicates": f"WITH {PHOTOS_SQL} SELECT content_hash, count(*) AS copies, min(ord) AS first_ord FROM photos WHERE content_hash IS NOT NULL GROUP BY content_hash HAVING count(*) > 1",
     "ranked_group_markers": f"""{_G}, p AS (SELECT s.ord, round(s.composite_score, 6) AS composite_score, g.duplicate_group FROM scored s LEFT JOIN grouped g ON g.ord = s.ord)

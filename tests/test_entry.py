@@ -17,7 +17,7 @@ def test_names_match():
         assert not any(n.startswith("op") and n[2].isdigit() for n in entry.queries())
 
 
-@pytest.mark.parametrize("name", ["exposure_score", "recommend_topn", "resize_targets", "cache_hit_tiers", "text_grid_dhash", "hamming_pairs", *batch_queries.QUERIES])
+@pytest.mark.parametrize("name", ["exposure_score", "recommend_topn", "resize_targets", "cache_hit_tiers", "text_grid_dhash", "hamming_pairs", "incremental_groups", "ranking_slice", *batch_queries.QUERIES])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "labels", "embeddings", "events"):
