@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from grainfold.operators import grouping, scoring
 from grainfold.operators.increments import GroupIndex
 from grainfold.operators.slices import Ranking
+from grainfold.sources.thumbs import Thumbnails
 
 CODES = "ord long, perceptual_hash long, capture_s long"
 
@@ -67,3 +69,34 @@ def test_a_slice_opens_only_its_parts(spark, tmp_path):
 def test_an_empty_ranking_has_empty_slices(spark, tmp_path):
     stored = Ranking.store(scoring.ranked(spark.createDataFrame([], "ord long, composite_score double")), f"file://{tmp_path}/ranking")
     assert stored.slice(1, 50).count() == 0 and stored.above(0.5) == 0
+
+
+
+def listed(spark, *names, size=10):
+    return spark.createDataFrame([(n, None, size) for n in names], "path string, x string, file_size long").select("path", F.timestamp_seconds(F.lit(7)).alias("modified"), "file_size")
+
+
+def test_kept_thumbnails_are_not_made_again(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def make(files):
+        def run(frames):
+            for f in frames:
+                made.add(len(f))
+                yield f.assign(thumb=[None if "bad" in p else "x" * 32 for p in f["path"]])[["path", "thumb"]]
+
+        return files.mapInPandas(run, "path string, thumb string")
+
+    t = Thumbnails(spark, f"file://{tmp_path}/thumbs", 64, 3 * (32 + 67), make)  # three of them
+    get = lambda now, *names, **kw: {r["path"]: (r["thumb"] is not None, r["hit"]) for r in t.get(listed(spark, *names, **kw), now).collect()}
+    assert get(1, "a", "b", "b", None) == {"a": (True, False), "b": (True, False)} and made.value == 2
+    assert get(2, "a", "c", "d") == {"a": (True, True), "c": (True, False), "d": (True, False)} and made.value == 4
+    assert {r["path"] for r in t.kept().collect()} == {"a", "c", "d"}  # b was used longest ago
+    assert t.kept().agg(F.sum("bytes")).first()[0] <= t.capacity
+    assert get(3, "b", "a") == {"a": (True, True), "b": (True, False)}
+    assert get(4, "a", size=11) == {"a": (True, False)}  # a file that changed
+    assert get(5, *"efgh") == dict.fromkeys("efgh", (True, False)) and t.kept().count() == 3  # more than fit come back all the same
+    assert t.clear() == 3 and t.clear() == 0 and t.kept().count() == 0
+    n = made.value
+    assert get(6, "bad") == {"bad": (False, False)} and get(7, "bad") == {"bad": (False, True)} and made.value == n + 1
+    assert get(8) == {}
