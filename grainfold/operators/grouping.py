@@ -72,12 +72,13 @@ def near_codes(left: DataFrame, right: DataFrame, threshold: int = THRESHOLD) ->
     offers its blocks with some bits flipped, so that such blocks meet in an
     equi-join, and what is found is checked whole.  At T = 10 a code meets about
     0.13 % of unrelated codes: an exact search of this radius has no key that
-    would leave them all out.
+    would leave them all out.  The planner takes a code's offers for one row, so
+    the join is told not to broadcast them.
     """
     a, b = _split(threshold)
     probe = left.select("l", F.explode(_offers(F.col("l"), a)).alias("x")).select("l", "x.k", "x.b")
     offer = right.select("r", F.explode(_offers(F.col("r"), b)).alias("x")).select("r", "x.k", "x.b")
-    return probe.join(offer, ["k", "b"]).where(hamming(F.col("l"), F.col("r")) <= threshold).select("l", "r").distinct()
+    return probe.hint("merge").join(offer, ["k", "b"]).where(hamming(F.col("l"), F.col("r")) <= threshold).select("l", "r").distinct()
 
 
 def timed_pairs(p: DataFrame, threshold: int = THRESHOLD, window_s: int = WINDOW_S, most: int = BUCKET_MOST) -> DataFrame:
@@ -95,7 +96,7 @@ def timed_pairs(p: DataFrame, threshold: int = THRESHOLD, window_s: int = WINDOW
     near = (F.col("b.own") > F.col("a.z")) | (F.col("a.ord") < F.col("b.ord"))
 
     def meet(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
-        hit = a.alias("a").join(b.alias("b"), on & near).where(same_shot("a", "b", threshold, window_s))
+        hit = a.hint("merge").alias("a").join(b.alias("b"), on & near).where(same_shot("a", "b", threshold, window_s))
         return hit.select(F.least("a.ord", "b.ord").alias("src"), F.greatest("a.ord", "b.ord").alias("dst"))
 
     sparse = [x.join(full, F.col("z") == F.col("f"), "left_anti") for x in (t, ahead)]

@@ -32,13 +32,13 @@ HEADS = "perceptual_hash long, capture_s long, ord long, label long"
 MEMBERS, MERGED = "ord long, label long", "label long, component long"
 
 
-def _hung(free: DataFrame, heads: DataFrame, threshold: int) -> DataFrame:
+def _hung(free: DataFrame, heads: DataFrame, threshold: int, ws: Workspace, name: str) -> DataFrame:
     """(src, dst) that connect heads with the untimed ones of near codes: ``free`` (l, head) has one row a code, ``heads`` (ord, perceptual_hash).
 
     What is near one code hangs together, so every such code and head is tied to
     the least of the untimed heads and not to each.
     """
-    near = grouping.near_codes(free.select("l"), heads.select(F.col("perceptual_hash").alias("r")).distinct(), threshold).join(free, "l")
+    near = ws.write(grouping.near_codes(free.select("l"), heads.select(F.col("perceptual_hash").alias("r")).distinct(), threshold).join(free, "l"), name)
     first = near.groupBy("r").agg(F.min("head").alias("first"))
     ties = near.join(first, "r").select(F.col("head").alias("src"), F.col("first").alias("dst"))
     return ties.unionAll(heads.join(first, F.col("perceptual_hash") == F.col("r")).select(F.col("ord").alias("src"), F.col("first").alias("dst")))
@@ -53,7 +53,7 @@ def _timed(new: DataFrame, old: DataFrame, threshold: int, window_s: int, ws: Wo
 
     def meet(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
         on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-        hit = x.alias("a").join(y.alias("b"), on).where(grouping.same_shot("a", "b", threshold, window_s))
+        hit = x.hint("merge").alias("a").join(y.alias("b"), on).where(grouping.same_shot("a", "b", threshold, window_s))
         return hit.select(F.col("a.ord").alias("src"), F.col("b.ord").alias("dst"))
 
     sparse = [x.join(full, F.col("z") == F.col("f"), "left_anti") for x in (a, b)]
@@ -99,10 +99,9 @@ class GroupIndex:
             return
         known = self._read(state["heads"], HEADS)
         heads = ws.write(new.groupBy("perceptual_hash", "capture_s").agg(F.min("ord").alias("ord")), "heads")
-        links = grouping.group_links(new, self.threshold, self.window_s)
+        links = ws.write(grouping.group_links(new, self.threshold, self.window_s), "links")
         if state["heads"]:
             links = links.unionAll(self._links(heads, known, ws))
-        links = ws.write(links, "links")
         merged = self._read(state["merged"], MERGED)
         group = known.select(F.col("ord").alias("__o"), "label").join(merged, "label", "left").select("__o", F.coalesce("component", "label").alias("__g"))
         ends = ws.write(links.select(F.explode(F.array("src", "dst")).alias("n")).distinct(), "ends")
@@ -125,11 +124,11 @@ class GroupIndex:
         replace_file(self.spark, f"{self.root}/CURRENT", json.dumps(state).encode())
 
     def _links(self, heads: DataFrame, known: DataFrame, ws: Workspace) -> DataFrame:
-        """(src, dst) between heads of a batch and known ones."""
+        """(src, dst) between heads of a batch and known ones; each kind is written by a plan of its own."""
         free = [x.where("capture_s IS NULL").select(F.col("perceptual_hash").alias("l"), F.col("ord").alias("head")) for x in (heads, known)]
-        out = _hung(free[0], known, self.threshold).unionAll(_hung(free[1], heads, self.threshold))
+        out = ws.write(_hung(free[0], known, self.threshold, ws, "near-new"), "hung-new").unionAll(ws.write(_hung(free[1], heads, self.threshold, ws, "near-known"), "hung-known"))
         if self.window_s is not None:
-            out = out.unionAll(_timed(heads.where("capture_s IS NOT NULL"), known.where("capture_s IS NOT NULL"), self.threshold, self.window_s, ws))
+            out = out.unionAll(ws.write(_timed(heads.where("capture_s IS NOT NULL"), known.where("capture_s IS NOT NULL"), self.threshold, self.window_s, ws), "timed"))
         return out.where("src <> dst")
 
     def components(self) -> DataFrame:
