@@ -187,7 +187,12 @@ def slices(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
 
 
 def encode_frame(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "bpe_ids") -> DataFrame:
-    """Adds ``ids``: array of token ids of the whole text (null text: empty array)."""
+    """Adds ``ids``: array of token ids of the whole text (null text: empty array).
+
+    One row per input row, repeated rows included; a column of ``df`` with the
+    name ``ids`` gives way to the new one.  An empty table gives no rows.
+    """
+    df = df.drop(ids)
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

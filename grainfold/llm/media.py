@@ -207,21 +207,25 @@ def describe(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_
     samples in reading order, media_bytes and media_sha256 of the file, width,
     height, feature (``dhash``) and tile_sha256 (of ``npy_tile``); with
     ``with_tile`` also tile (binary).  One row per input row.  A null file gives
-    nulls; a broken one fails with ValueError.  Equal files, equal values.
+    nulls; a broken one too, with what is wrong in ``error`` (null elsewhere), the
+    last column.  Equal files, equal values.
     """
     src = df.select(media, *keep)
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature", "tile_sha256", *["tile"] * with_tile]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), *[pa.binary()] * with_tile]
-    said = ["long", "string", "long", "long", "string", "int", "int", "string", "string", *["binary"] * with_tile]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature", "tile_sha256", *["tile"] * with_tile, "error"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), *[pa.binary()] * with_tile, pa.string()]
+    said = ["long", "string", "long", "long", "string", "int", "int", "string", "string", *["binary"] * with_tile, "string"]
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def one(file: bytes | None) -> tuple:
         if file is None:
             return (None,) * len(names)
-        a = decode(file)
+        try:
+            a = decode(file)
+        except ValueError as e:  # one broken file must not end the job
+            return (*(None,) * (len(names) - 1), f"{type(e).__name__}: {e}")
         back, tile = a.tobytes(), npy_tile(a)
         row = (len(back), sha(back), zlib.crc32(back[-32:]), len(file), sha(file), a.shape[1], a.shape[0], dhash(a), sha(tile))
-        return (*row, tile) if with_tile else row
+        return (*row, tile, None) if with_tile else (*row, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

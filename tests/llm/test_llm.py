@@ -14,6 +14,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -80,6 +81,8 @@ def test_bpe_frames(spark):
     assert bpe.digest_frame(df.limit(0), RANKS, P.PATTERN).count() == 0
     ids = bpe.encode_frame(df, RANKS, P.PATTERN).select("bpe_ids").collect()
     assert len(ids[0][0]) == got[0]["n_tokens"] and ids[2][0] == []
+    again = bpe.encode_frame(df.withColumn("bpe_ids", F.lit("clash")), RANKS, P.PATTERN)
+    assert again.columns == [*df.columns, "bpe_ids"] and [r["bpe_ids"] for r in again.collect()] == [r[0] for r in ids]
 
 
 # ---- 2 ----
@@ -315,6 +318,13 @@ def test_media_frames(spark):
     assert media.describe(spark.createDataFrame([(1, None)], "doc_id long, media binary"), keep=("doc_id",)).first()["feature"] is None
 
 
+def test_a_broken_file_is_an_error_row(spark):
+    files = [(1, b"P5 1 1 255 "), (2, b"P5 1 1 255 x"), (3, b""), (4, None), (5, b"BMnothing")]
+    got = {r["doc_id"]: r for r in media.describe(spark.createDataFrame(files, "doc_id long, media binary"), keep=("doc_id",), with_tile=True).collect()}
+    assert {k for k, r in got.items() if r["error"]} == {1, 3, 5} and all(got[k]["payload_bytes"] is None and got[k]["tile"] is None for k in (1, 3, 4, 5))
+    assert got[2]["payload_bytes"] == 1 and got[2]["tile"] is not None
+
+
 # ---- 6 ----
 
 
@@ -324,6 +334,51 @@ def test_language_id_on_held_out_rows(spark):
     assert len(got) > 100 and (got.lang_pred == got.lang).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def plain_language(model, text):
+    """The rule in full, by zstandard's plain interface: every size computed anew."""
+    kept = langid.regex.sub(r"[^\p{L}\p{M}]+", " ", text or "").strip().lower()
+    if not any(c.isalpha() for c in kept):
+        return "und", 0.0, False
+    b = f" {kept} ".encode()
+
+    def sizes(parts):
+        out = []
+        for content in model.values():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=langid.LEVEL)
+            out.append(sum(len(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(x)) for x in parts))
+        return out
+
+    count = -(-len(b) // langid.BLOCK)
+    step = -(-len(b) // count)
+    parts = [b[k * step : (k + 1) * step] for k in range(count) if b[k * step :]]
+    whole = sizes(parts)
+    looked = [whole]
+    if len(parts) > 1:
+        looked += [sizes(parts[: len(parts) // 2]), sizes(parts[len(parts) // 2 :])]
+    elif len(b) >= langid.HALVES_FROM:
+        at = b.rfind(b" ", 0, len(b) // 2)
+        at = at + 1 if at >= 0 else 0
+        at = at or len(b) // 2
+        looked += [sizes([b[:at]]), sizes([b[at:]])]
+    k = whole.index(min(whole))
+    score = 1 / sum(2.0 ** (-(s - whole[k]) * 8 / langid.TEMPER) for s in whole)
+    rivals = [min(s for j, s in enumerate(x) if j != k) for x in looked]
+    return list(model)[k], score, all((r - x[k]) / x[k] >= langid.MIN_MARGIN for r, x in zip(rivals, looked))
+
+
+def test_language_id_equals_the_plain_form(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = langid.identify(docs).collect()
+    assert len(got) == len(texts) and any(r["accepted"] for r in got)
+    for r in got:
+        lang, score, ok = plain_language(model, texts[r["doc_id"]])
+        assert (r["lang_pred"], r["accepted"]) == (lang, ok) and abs(r["score"] - score) < 1e-9
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
 def test_language_id_hard_rows(spark):
     model = {"en": b" the cat and the dog went to the house ", "de": b" der hund und die katze gingen in das haus "}
     rows = [(1, None), (2, ""), (3, "12 $%"), (4, "und die katze und der hund"), (5, "THE DOG AND THE CAT " * 5000), (None, "the house")]
