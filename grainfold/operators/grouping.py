@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainfold.functions.formulas import hamming, pack_bits
+from grainfold.operators import codes
 from grainfold.plans.components import connected_components
 from grainfold.plans.ranges import running
 from grainfold.plans.workspace import Workspace
 
 THRESHOLD, WINDOW_S = 10, 30
-#: Places and widths of the blocks that a 64-bit code is split into for the join on code alone.
+#: Places and widths of the blocks that a 64-bit code is split into for the join within full time buckets.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Rows of a time bucket up to which they are compared with each other; a larger bucket joins by code blocks too.
 BUCKET_MOST = 256
@@ -65,20 +66,14 @@ def _split(threshold: int) -> tuple[int, int]:
     return r - r // 2, r // 2
 
 
-def near_codes(left: DataFrame, right: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(l, r): pairs of codes within ``threshold`` bits, from columns l and r of distinct codes.
+def near_codes(left: DataFrame, right: DataFrame, threshold: int = THRESHOLD, joined: bool = False) -> DataFrame:
+    """(l, r): pairs of codes within ``threshold`` bits, from columns l and r of distinct codes; with ``joined`` only pairs enough to connect what all of them connect.
 
-    Codes within T differ in some block by at most T // 3 bits: either side
-    offers its blocks with some bits flipped, so that such blocks meet in an
-    equi-join, and what is found is checked whole.  At T = 10 a code meets about
-    0.13 % of unrelated codes: an exact search of this radius has no key that
-    would leave them all out.  The planner takes a code's offers for one row, so
-    the join is told not to broadcast them.
+    Codes of short texts are near very many others, so the pairs grow with the
+    square of the table: what only asks what hangs together should take ``joined``.
     """
-    a, b = _split(threshold)
-    probe = left.select("l", F.explode(_offers(F.col("l"), a)).alias("x")).select("l", "x.k", "x.b")
-    offer = right.select("r", F.explode(_offers(F.col("r"), b)).alias("x")).select("r", "x.k", "x.b")
-    return probe.hint("merge").join(offer, ["k", "b"]).where(hamming(F.col("l"), F.col("r")) <= threshold).select("l", "r").distinct()
+    pairs = codes.near(left.select("l", F.col("l").alias("code")), right.select("r", F.col("r").alias("code")), threshold, joined)
+    return pairs.select(F.col("a").alias("l"), F.col("b").alias("r"))
 
 
 def timed_pairs(p: DataFrame, threshold: int = THRESHOLD, window_s: int = WINDOW_S, most: int = BUCKET_MOST) -> DataFrame:
@@ -86,7 +81,8 @@ def timed_pairs(p: DataFrame, threshold: int = THRESHOLD, window_s: int = WINDOW
 
     Buckets are window_s + 1 seconds wide, so a partner is in the same one or the
     next.  In buckets of more than ``most`` rows, partners also share a block of
-    the code (as in ``near_codes``), so that a burst is not compared with itself
+    the code: codes within T differ in some block by at most T // 3 bits, and either side offers its
+    blocks with some bits flipped, so that a burst is not compared with itself
     row by row.
     """
     t = p.where("capture_s IS NOT NULL AND perceptual_hash IS NOT NULL").select("ord", "perceptual_hash", "capture_s", F.floor(F.col("capture_s") / (window_s + 1)).alias("z"))
@@ -109,10 +105,10 @@ def untimed_pairs(p: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(src, dst), src < dst: all duplicate pairs in which a row has no time.  For reports; groups do not need it."""
     rows = p.where("perceptual_hash IS NOT NULL")
     free = rows.where("capture_s IS NULL")
-    codes = near_codes(free.select(F.col("perceptual_hash").alias("l")).distinct(), rows.select(F.col("perceptual_hash").alias("r")).distinct(), threshold)
+    pairs = near_codes(free.select(F.col("perceptual_hash").alias("l")).distinct(), rows.select(F.col("perceptual_hash").alias("r")).distinct(), threshold)
     a = free.select(F.col("ord").alias("a"), F.col("perceptual_hash").alias("l"))
     b = rows.select(F.col("ord").alias("b"), F.col("perceptual_hash").alias("r"), F.col("capture_s").isNull().alias("free"))
-    hit = codes.join(a, "l").join(b, "r").where("(NOT free AND a <> b) OR a < b")
+    hit = pairs.join(a, "l").join(b, "r").where("(NOT free AND a <> b) OR a < b")
     return hit.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
 
 
@@ -125,12 +121,13 @@ def group_links(p: DataFrame, threshold: int = THRESHOLD, window_s: int | None =
     """(src, dst): links that connect what the duplicate predicate connects, without all pairs of a group.
 
     A row without time links by its code alone, so all rows whose codes are near
-    that of one such row hang together: they are tied to the least such row of
-    each code.  Timed rows with one code and one time are tied to the least of them.
+    that of one such row hang together: near codes are joined by as few pairs as
+    connect them, and rows are tied to an untimed row near their code.  Timed rows with one code and one time are tied to the least of them.
     """
     rows = p.where("perceptual_hash IS NOT NULL").select("ord", "perceptual_hash", F.lit(None).cast("long").alias("capture_s") if window_s is None else F.col("capture_s"))
     free = rows.where("capture_s IS NULL").groupBy(F.col("perceptual_hash").alias("l")).agg(F.min("ord").alias("head"))
-    near = near_codes(free.select("l"), rows.select(F.col("perceptual_hash").alias("r")).distinct(), threshold).join(free, "l")
+    near = near_codes(free.select("l"), rows.select(F.col("perceptual_hash").alias("r")).distinct(), threshold, joined=True)
+    near = Workspace(p.sparkSession, "near").write(near.join(free, "l"), "near")
     first = near.groupBy("r").agg(F.min("head").alias("first"))
     ties = near.join(first, "r").select(F.col("head").alias("src"), F.col("first").alias("dst"))
     hung = rows.join(first, F.col("perceptual_hash") == F.col("r")).select(F.col("ord").alias("src"), F.col("first").alias("dst"))
