@@ -105,11 +105,10 @@ def untimed_pairs(p: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(src, dst), src < dst: all duplicate pairs in which a row has no time.  For reports; groups do not need it."""
     rows = p.where("perceptual_hash IS NOT NULL")
     free = rows.where("capture_s IS NULL")
-    pairs = near_codes(free.select(F.col("perceptual_hash").alias("l")).distinct(), rows.select(F.col("perceptual_hash").alias("r")).distinct(), threshold)
-    a = free.select(F.col("ord").alias("a"), F.col("perceptual_hash").alias("l"))
-    b = rows.select(F.col("ord").alias("b"), F.col("perceptual_hash").alias("r"), F.col("capture_s").isNull().alias("free"))
-    hit = pairs.join(a, "l").join(b, "r").where("(NOT free AND a <> b) OR a < b")
-    return hit.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    of = lambda d: d.select("ord", F.col("perceptual_hash").alias("code"))
+    timed = codes.near(of(free), of(rows.where("capture_s IS NOT NULL")), threshold)
+    both = codes.near(of(free), of(free), threshold).where("a < b")
+    return timed.unionAll(both).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
 
 
 def hamming_pairs(p: DataFrame, threshold: int = THRESHOLD, window_s: int = WINDOW_S) -> DataFrame:

@@ -53,3 +53,13 @@ def test_groups_of_many_near_codes_need_few_links(spark):
     df = spark.createDataFrame([(k, v, None) for k, v in enumerate(c)], CODES)
     assert grouping.group_links(df).count() < 4 * len(c)  # not a link for each of their 45,000 pairs
     assert {tuple(x) for x in grouping.duplicate_groups(df).collect()} == {(k, 0) for k in range(len(c))}
+
+
+def test_pairs_need_no_row_for_each_offer(spark):
+    c = near_each_other(40)
+    rows = [(k, v, None if k % 3 else 5 * k) for k, v in enumerate(c)] + [(100, c[0], None), (101, None, None), (None, c[1], None)]
+    pairs = grouping.untimed_pairs(spark.createDataFrame(rows, CODES))
+    assert "Generate" not in pairs._jdf.queryExecution().executedPlan().toString()
+    code = {o: (v, t) for o, v, t in rows if o is not None and v is not None}
+    assert {tuple(x) for x in pairs.collect()} == {(a, b) for a in code for b in code if a < b and (code[a][1] is None or code[b][1] is None) and bin(code[a][0] ^ code[b][0]).count("1") <= 10}
+    assert pairs.count() == len(set(map(tuple, pairs.collect())))
