@@ -35,10 +35,10 @@ MEMBERS, MERGED = "ord long, label long", "label long, component long"
 def _hung(free: DataFrame, heads: DataFrame, threshold: int, ws: Workspace, name: str) -> DataFrame:
     """(src, dst) that connect heads with the untimed ones of near codes: ``free`` (l, head) has one row a code, ``heads`` (ord, perceptual_hash).
 
-    What is near one code hangs together, so every such code and head is tied to
-    the least of the untimed heads and not to each.
+    What is near one code hangs together, so codes are joined by as few pairs as
+    connect them, and a head is tied to the least of the untimed heads it is joined with.
     """
-    near = ws.write(grouping.near_codes(free.select("l"), heads.select(F.col("perceptual_hash").alias("r")).distinct(), threshold).join(free, "l"), name)
+    near = ws.write(grouping.near_codes(free.select("l"), heads.select(F.col("perceptual_hash").alias("r")).distinct(), threshold, joined=True).join(free, "l"), name)
     first = near.groupBy("r").agg(F.min("head").alias("first"))
     ties = near.join(first, "r").select(F.col("head").alias("src"), F.col("first").alias("dst"))
     return ties.unionAll(heads.join(first, F.col("perceptual_hash") == F.col("r")).select(F.col("ord").alias("src"), F.col("first").alias("dst")))

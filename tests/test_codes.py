@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from grainfold.operators import codes, grouping
+from grainfold.operators.increments import GroupIndex
 
 CODES = "ord long, perceptual_hash long, capture_s long"
 
@@ -63,3 +64,15 @@ def test_pairs_need_no_row_for_each_offer(spark):
     code = {o: (v, t) for o, v, t in rows if o is not None and v is not None}
     assert {tuple(x) for x in pairs.collect()} == {(a, b) for a in code for b in code if a < b and (code[a][1] is None or code[b][1] is None) and bin(code[a][0] ^ code[b][0]).count("1") <= 10}
     assert pairs.count() == len(set(map(tuple, pairs.collect())))
+
+
+def test_batches_of_many_near_codes_keep_few_links(spark, tmp_path, monkeypatch):
+    c = near_each_other(200)
+    seen = []
+    plain = grouping.near_codes
+    monkeypatch.setattr(grouping, "near_codes", lambda *a, **k: seen.append(plain(*a, **k)) or seen[-1])
+    kept = GroupIndex(spark, f"file://{tmp_path}/groups")
+    kept.add(spark.createDataFrame([(k, v, None) for k, v in enumerate(c[:150])], CODES))
+    kept.add(spark.createDataFrame([(150 + k, v, None) for k, v in enumerate(c[150:])], CODES))
+    assert kept.groups().where("duplicate_group = 0").count() == len(c)
+    assert len(seen) == 4 and all(x.count() < 2 * len(c) for x in seen)
