@@ -1,21 +1,20 @@
-"""All pairs of vectors within a distance: cells around pivots, replicas where a partner may be, and bounded blocks.
+"""All pairs of vectors within a distance: cells around pivots, tiles of bounded size, and bounds on who can be whose partner.
 
 Pivots from a bounded sample cut the rows into cells, each row to the pivot it
-is nearest to.  A row is copied to another cell only if a partner of it can lie
-there: not if it is further than the distance beyond the plane between that
-pivot and any other, nor if its angle to the pivot exceeds the cell's widest one
-by more than the distance's angle (the triangle inequality on the sphere).
-Copies go to lower cells only, so every pair meets once.  Cells that hold too
-many rows are cut again around pivots of their own; what no pivot can part, such
-as copies of one vector, is dealt into blocks of at most BLOCK by about BLOCK
-rows, so no task grows with a cell.  How much is spared depends on the data: of
-unrelated vectors of many dimensions and a wide distance nothing can be spared,
-and the blocks are then all pairs, evenly dealt.
+is nearest to; cells are dealt into tiles of about BLOCK rows or fewer, packed.
+Every two tiles meet in some task, which reads the tiles it needs: no row is
+copied for it.  Of the second tile only rows are compared that can have a partner
+in the first's cell: not those further than the distance beyond the plane
+between its pivot and any other, nor those whose angle to the pivot exceeds the
+cell's widest one by more than the distance's angle (the triangle inequality on
+the sphere).  How much is spared depends on the data: of unrelated vectors of
+many dimensions and a wide distance nothing can be spared, and the tiles are then
+compared in all pairs, evenly dealt.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,10 +28,11 @@ from grainfold.plans.workspace import Workspace
 CELL, LEAST_PIVOTS, MOST_PIVOTS, BLOCK = 1024, 8, 128, 2048
 #: Room for rounding in the bounds, which only adds candidates.
 SLACK = 1e-6
-#: Bytes of candidate pairs that are looked at together.
-CHUNK = 1 << 24
+#: Bytes of candidate pairs that are looked at together, and rows that are sent together.
+CHUNK, SENT = 1 << 24, 1 << 18
+#: Partitions of tiles a side, at most: their square is the number of tasks.
+SIDES = 24
 
-_X, _Y = "a long, x array<double>, cell string", "b long, y array<double>, cell string, own string"
 _PAIRS = "a long, b long, similarity double"
 
 
@@ -44,14 +44,12 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
-def _in_reach(dots: np.ndarray, pivots: np.ndarray, least: float, wide: np.ndarray) -> np.ndarray:
-    """Whether a cell may hold a partner of a row: rows by cells, from the rows' dot products with the pivots."""
-    apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
+def _in_reach(dots: np.ndarray, pivots: np.ndarray, least: float, wide: np.ndarray, j: int) -> np.ndarray:
+    """Whether cell j may hold a partner of a row, from the rows' dot products with the pivots."""
+    apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots[j], 0))
     far = np.sqrt(2 - 2 * least) + SLACK
-    ok = np.arccos(np.clip(dots, -1, 1)) <= wide + np.arccos(least) + SLACK
-    for j in range(len(pivots)):
-        ok[:, j] &= (dots - dots[:, [j]] - far * apart[j]).max(1) <= SLACK
-    return ok
+    ok = np.arccos(np.clip(dots[:, j], -1, 1)) <= wide[j] + np.arccos(least) + SLACK
+    return ok & ((dots - dots[:, [j]] - far * apart).max(1) <= SLACK)
 
 
 def _sample(x: DataFrame, big: dict[str, int]) -> dict[str, np.ndarray]:
@@ -68,13 +66,9 @@ def _sample(x: DataFrame, big: dict[str, int]) -> dict[str, np.ndarray]:
     return {c: _unit(np.array(v, np.float64)) for c, v in out.items() if len(v) > 1}
 
 
-def _cut(x: DataFrame, y: DataFrame, pivots: dict[str, np.ndarray], least: dict[str, float], ws: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the cells that have pivots cut into smaller ones (``cell`` becomes ``cell/k``), written."""
-    if not pivots:
-        return x, y
-    sc = x.sparkSession.sparkContext
-    known = sc.broadcast(pivots)
-    angle = "a long, x array<double>, cell string, angle double"
+def _cells(x: DataFrame, pivots: dict[str, np.ndarray], least: dict[str, float], ws: Workspace) -> tuple[DataFrame, dict[str, np.ndarray]]:
+    """``x`` with its cells cut around ``pivots`` (``cell`` becomes ``cell/k``), written, and each new cell's widest angle by its parent and k."""
+    known = x.sparkSession.sparkContext.broadcast(pivots)
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -88,86 +82,145 @@ def _cut(x: DataFrame, y: DataFrame, pivots: dict[str, np.ndarray], least: dict[
                 at = np.arccos(np.clip(dots[np.arange(len(k)), k], -1, 1))
                 yield g.assign(cell=[f"{cell}/{j}" for j in k], angle=at)
 
-    def copy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for cell, g in f.groupby("cell", sort=False):
-                p = known.value.get(cell)
-                if p is None:
-                    yield g
-                    continue
-                dots = _unit(_matrix(g["y"])) @ p.T
-                k = dots.argmax(1)
-                here = (g["own"] == cell).to_numpy()
-                ok = _in_reach(dots, p, least[cell.split("/")[0]], widest.value[cell])
-                ok &= ~here[:, None] | (np.arange(len(p)) <= k[:, None])
-                ok[here, k[here]] = True
-                rows, cells = np.nonzero(ok)
-                own = np.array([f"{cell}/{j}" if h else o for j, h, o in zip(k, here, g["own"])], object)
-                yield g.iloc[rows].assign(cell=[f"{cell}/{j}" for j in cells], own=own[rows])
-
-    dealt = ws.write(x.mapInPandas(deal, angle), f"{name}-x")
-    wide = {c: np.full(len(p), -np.inf) for c, p in pivots.items()}  # a cell without rows needs no copies
-    for r in dealt.groupBy("cell").agg(F.max("angle").alias("w")).toLocalIterator():  # a row a cell: at most MOST_PIVOTS squared
+    dealt = ws.write(x.mapInPandas(deal, "a long, x array<double>, n long, cell string, angle double"), "cells")
+    wide = {c: np.full(len(p), -np.inf) for c, p in pivots.items()}  # a cell without rows needs no partners
+    for r in dealt.groupBy("cell").agg(F.max("angle").alias("w")).toLocalIterator():  # a row a cell: at most MOST_PIVOTS for each length
         parent, _, k = r["cell"].rpartition("/")
         if parent in wide:
             wide[parent][int(k)] = r["w"]
-    widest = sc.broadcast(wide)
-    return dealt.drop("angle"), ws.write(y.mapInPandas(copy, _Y), f"{name}-y")
+    return dealt.drop("angle"), wide
+
+
+class Cells:
+    """Rows in tiles of about BLOCK or fewer, by cell, and which rows of a cell may have partners in another."""
+
+    def __init__(self, df: DataFrame, least: float, id: str, vector: str, weight: str | None = None):
+        if not 0 < least <= 1:
+            raise ValueError("least must be above 0 and at most 1")
+        self.ws, self.least = Workspace(df.sparkSession, "metric"), least
+        n = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+        e = df.select(F.col(id).cast("long").alias("a"), F.col(vector).cast("array<double>").alias("x"), n.alias("n"))
+        bad = F.exists("x", lambda v: v.isNull() | F.isnan(v))
+        e = e.where(F.col("a").isNotNull() & (F.size("x") > 0) & ~bad & F.exists("x", lambda v: v != 0))
+        x = self.ws.write(e.withColumn("cell", F.size("x").cast("string")), "rows")
+        norm = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
+        sizes = x.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).collect()  # a row a length
+        # the dot product of vectors no longer than m reaches ``least`` only if their cosine reaches least / m
+        self.cos = {r["cell"]: min(least / max(r["m"], 1e-300), 1.0) for r in sizes}
+        self.pivots = _sample(x, {r["cell"]: r["n"] for r in sizes if r["n"] > 1})
+        x, self.wide = _cells(x, self.pivots, self.cos, self.ws)
+        # parts are dealt by hash to two thirds of BLOCK, so that few exceed it
+        parts = F.ceil(F.count(F.lit(1)) * 3 / (2 * BLOCK)).cast("int")
+        few = self.ws.write(x.groupBy("cell").agg(parts.alias("parts")), "parts")  # a row a cell
+        self.rows = x.join(F.broadcast(few), "cell").withColumn("part", F.pmod(F.xxhash64(F.lit("block"), "a"), F.col("parts")).cast("int")).drop("parts")
+        self.parts = few
+
+    def reach(self) -> Callable[[str, str, np.ndarray], np.ndarray]:
+        """A function of (cell, own, vectors): which of the vectors, of cell ``own``, may have partners in ``cell``; it may run in tasks."""
+        pivots, wide, cos = self.pivots, self.wide, self.cos
+
+        def may(cell: str, own: str, y: np.ndarray) -> np.ndarray:
+            if cell == own:
+                return np.ones(len(y), bool)
+            (top, _, j), (other, _, k) = cell.rpartition("/"), own.rpartition("/")
+            if top != other or top not in pivots:  # other lengths
+                return np.zeros(len(y), bool)
+            return _in_reach(_unit(y) @ pivots[top].T, pivots[top], cos[top], wide[top], int(j))
+
+        return may
+
+    def tiles(self) -> tuple[DataFrame, DataFrame]:
+        """Both sides of the comparison: packed tiles in as many partitions as even out, written once.  A pair of tiles is compared where the first's (cell, part) is not above the second's."""
+
+        def pack(f: pd.DataFrame) -> pd.DataFrame:
+            m = _matrix(f["x"])
+            return pd.DataFrame({"cell": f["cell"].iloc[:1], "part": f["part"].iloc[:1], "a": [f["a"].to_numpy(np.int64).tobytes()], "n": [f["n"].to_numpy(np.int64).tobytes()], "x": [m.tobytes()], "d": m.shape[1]})
+
+        t = self.ws.write(self.rows.groupBy("cell", "part").applyInPandas(pack, "cell string, part int, a binary, n binary, x binary, d int"), "tiles")
+        many = max(1, min(SIDES, t.count()))
+        t = t.repartition(many)
+        return tuple(t.select(*[F.col(c).alias(f"{c}{k}") for c in t.columns]) for k in (1, 2))
+
+    def compare(self, each: Callable, schema: str, last: Callable | None = None) -> DataFrame:
+        """Rows of ``schema`` from ``each(ids, weights, vectors, ids, weights, vectors, same)`` of every two tiles that may hold partners, rows out of reach left out."""
+        t, u = self.tiles()
+        order = F.struct("cell1", "part1") <= F.struct("cell2", "part2")
+        both = t.hint("shuffle_replicate_nl").join(u, (F.col("d1") == F.col("d2")) & order)
+        may = self.reach()
+
+        def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for r in f.itertuples(index=False):
+                    x, y = (np.frombuffer(v, np.float64).reshape(-1, r.d1) for v in (r.x1, r.x2))
+                    a, n, b, m = (np.frombuffer(v, np.int64) for v in (r.a1, r.n1, r.a2, r.n2))
+                    ok = may(r.cell1, r.cell2, y)
+                    if ok.any():
+                        yield from each(a, n, x, b[ok], m[ok], y[ok], (r.cell1, r.part1) == (r.cell2, r.part2))
+
+        return both.mapInPandas(lambda f: meet(f) if last is None else last(meet(f)), schema)
+
+
+def _copies(c: Cells) -> DataFrame:
+    """(b, cell, own, j): each row, of cell ``own`` and part j, once for every cell up to its own that may hold partners of it."""
+    may = c.reach()
+    near = {p: [f"{p}/{j}" for j in range(len(v))] for p, v in c.pivots.items()}
+
+    def copy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for own, g in f.groupby("cell", sort=False):
+                y = _matrix(g["x"])
+                for cell in near.get(own.rpartition("/")[0], [own]):
+                    if cell <= own and (ok := may(cell, own, y)).any():
+                        yield pd.DataFrame({"b": g["a"][ok], "cell": cell, "own": own, "j": g["part"][ok]})
+
+    return c.rows.mapInPandas(copy, "b long, cell string, own string, j int")
 
 
-def _counts(x: DataFrame) -> dict[str, int]:
-    """Rows by cell; there are at most MOST_PIVOTS squared cells for each length of vectors."""
-    return {r["cell"]: r["count"] for r in x.groupBy("cell").count().collect()}
+def _sizes(c: Cells) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs of tiles, tiles, sides of tiles by the cells in their reach) with their numbers of rows, nx and ny; counts only."""
+    tiles = c.ws.write(c.rows.groupBy("cell", F.col("part").alias("i")).agg(F.count(F.lit(1)).alias("nx")), "sizes")
+    sides = c.ws.write(_copies(c).groupBy("cell", "own", "j").agg(F.count(F.lit(1)).alias("ny")), "sides")
+    return c.ws.write(tiles.join(sides, "cell").where("cell <> own OR i <= j"), "pairs"), tiles, sides
 
 
 def blocks(df: DataFrame, least: float, id: str = "ord", vector: str = "embedding") -> tuple[DataFrame, DataFrame, int]:
-    """(X, Y, n): the two sides to compare, both with cell, i and j, and the number of blocks.
+    """(X, Y, n): what ``similar_pairs`` compares, without vectors, for looks at it: rows of the two sides with cell, own, i and j, and the number of blocks.
 
-    A pair of partners meets in exactly one block: as (a, b) of X and Y with
-    a < b where ``own`` is the block's cell, else as (a, b) in either order.
+    A block is two tiles; X holds the first's rows (a), Y the second's (b, own:
+    their cell) that may have partners in the first's cell.
     """
-    if not 0 < least <= 1:
-        raise ValueError("least must be above 0 and at most 1")
-    ws = Workspace(df.sparkSession, "metric")
-    e = df.select(F.col(id).cast("long").alias("a"), F.col(vector).cast("array<double>").alias("x"))
-    bad = F.exists("x", lambda v: v.isNull() | F.isnan(v))
-    e = e.where(F.col("a").isNotNull() & (F.size("x") > 0) & ~bad & F.exists("x", lambda v: v != 0))
-    x = ws.write(e.withColumn("cell", F.size("x").cast("string")), "rows")
-    norm = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
-    sizes = x.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).collect()  # a row a length
-    # the dot product of vectors no longer than m reaches ``least`` only if their cosine reaches least / m
-    cos = {r["cell"]: min(least / max(r["m"], 1e-300), 1.0) for r in sizes}
-    y = x.select(F.col("a").alias("b"), F.col("x").alias("y"), F.concat("cell").alias("cell"), F.col("cell").alias("own"))  # a column of its own: sides meet
-    big = {r["cell"]: r["n"] for r in sizes if r["n"] > 1}
-    for level in range(2):
-        x, y = _cut(x, y, _sample(x, big), cos, ws, f"cut-{level}")
-        big = {c: n for c, n in _counts(x).items() if n > BLOCK}
-    have = x.groupBy("cell").agg(F.count(F.lit(1)).alias("nx")).join(y.groupBy("cell").agg(F.count(F.lit(1)).alias("ny")), "cell")
-    part = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    parts = ws.write(have.select("cell", part("nx").alias("px"), part("ny").alias("py")), "parts")
-    total = parts.agg(F.sum(F.col("px") * F.col("py"))).first()[0] or 0
-    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    place = lambda c, p: F.pmod(F.xxhash64(F.lit("block"), c), F.col(p)).cast("int")
-    few = F.broadcast(parts)  # a row a cell
-    x = x.join(few, "cell").withColumn("i", place("a", "px")).withColumn("j", F.explode(upto("py"))).drop("px", "py")
-    y = y.join(few, "cell").withColumn("j", place("b", "py")).withColumn("i", F.explode(upto("px"))).drop("px", "py")
-    return x, y, int(total)
-
-
-def _compare(f: pd.DataFrame, g: pd.DataFrame, least: float) -> pd.DataFrame:
-    if not len(f) or not len(g):
-        return pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64), "similarity": np.array([], np.float64)})
-    x, y = _matrix(f["x"]), _matrix(g["y"])
-    a, b = f["a"].to_numpy(), g["b"].to_numpy()
-    home = (g["own"] == g["cell"]).to_numpy()
-    near = (x @ y.T >= least - SLACK) & (~home[None, :] | (a[:, None] < b[None, :]))
-    r, c = np.nonzero(near)
+    c = Cells(df, least, id, vector)
+    pairs, _, _ = _sizes(c)
+    keys = pairs.select("cell", "own", "i", "j")
+    x = c.rows.select("a", "cell", F.col("part").alias("i")).join(keys, ["cell", "i"])
+    return x, _copies(c).join(keys, ["cell", "own", "j"]), pairs.count()
+
+
+def _near(x: np.ndarray, y: np.ndarray, least: float, first: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in x, places in y, whether surely near): candidates of dot products of at least ``least``, a strip of x at a time; ``first`` says which pairs count where tiles are the same."""
+    longest = [float(np.sqrt((m * m).sum(1).max())) for m in (x, y)]
+    size = longest[0] * longest[1]
+    small = max(longest) < 1e15 and least > 1e-20  # within the range of floats
+    slack = (x.shape[1] + 8) * size * (2.0**-23 if small else 2.0**-52)
+    p, q = (m.astype(np.float32 if small else np.float64) for m in (x, y))
+    step = max(CHUNK // (8 * len(y)), 1)
+    for k in range(0, len(x), step):
+        s = p[k : k + step] @ q.T
+        at = np.flatnonzero(s >= s.dtype.type(least - slack) - abs(np.spacing(s.dtype.type(least))))
+        sure = s.ravel()[at] >= least + slack
+        r, c = np.divmod(at, len(y))
+        r += k
+        if first is not None:
+            keep = first[r] < first[c]
+            r, c, sure = r[keep], c[keep], sure[keep]
+        yield r, c, sure
+
+
+def _dots(x: np.ndarray, y: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Dot products added up in order of position, as the expression ``cosine`` does."""
     step = max(CHUNK // (8 * x.shape[1]), 1)
-    # added up in order of position, as the expression ``cosine`` does
     s = [np.cumsum(x[r[k : k + step]] * y[c[k : k + step]], axis=1)[:, -1] for k in range(0, len(r), step)]
-    s = np.concatenate(s) if s else np.array([], np.float64)
-    r, c, s = r[s >= least], c[s >= least], s[s >= least]
-    return pd.DataFrame({"a": np.minimum(a[r], b[c]), "b": np.maximum(a[r], b[c]), "similarity": s})
+    return np.concatenate(s) if s else np.array([], np.float64)
 
 
 def similar_pairs(df: DataFrame, least: float, id: str = "ord", vector: str = "embedding") -> DataFrame:
@@ -178,40 +231,76 @@ def similar_pairs(df: DataFrame, least: float, id: str = "ord", vector: str = "e
     all zero, or hold a null or NaN have no pairs.  Ids should be unique: rows
     of one id have no pair with each other.  Equal vectors are all paired.
     """
-    x, y, n = blocks(df, least, id, vector)
-    keys = ["cell", "i", "j"]
-    tasks = max(1, min(n, 20_000))
-    side = lambda d: d.repartition(tasks, *keys).groupBy(*keys)
-    return side(x).cogroup(side(y)).applyInPandas(lambda f, g: _compare(f, g, least), _PAIRS)
+
+    def each(a, n, x, b, m, y, same) -> Iterator[pd.DataFrame]:
+        for r, c, _ in _near(x, y, least, a if same else None):
+            for k in range(0, len(r), SENT):
+                i, j = r[k : k + SENT], c[k : k + SENT]
+                s = _dots(x, y, i, j)
+                ok = (s >= least) & (a[i] != b[j])
+                i, j = a[i[ok]], b[j[ok]]
+                yield pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j), "similarity": s[ok]})
+
+    return Cells(df, least, id, vector).compare(each, _PAIRS)
+
+
+def _met(df: DataFrame, least: float, id: str, vector: str, weight: str) -> DataFrame:
+    """(a, met): the sum of ``weight`` over the rows that ``similar_pairs`` would pair a row with, added up in tasks without a row for each pair."""
+
+    def each(a, n, x, b, m, y, same) -> Iterator[pd.DataFrame]:
+        left, right = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        for r, c, sure in _near(x, y, least, a if same else None):
+            ok = sure | False
+            doubt = np.flatnonzero(~sure)
+            ok[doubt] = _dots(x, y, r[doubt], c[doubt]) >= least
+            r, c = r[ok], c[ok]
+            np.add.at(left, r, m[c])
+            np.add.at(right, c, n[r])
+        for ids, sums in ((a, left), (b, right)):
+            yield pd.DataFrame({"a": ids[sums > 0], "met": sums[sums > 0]})
+
+    def last(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for f in frames:
+            held.append(f)
+            size += len(f)
+            if size > 4 * SENT:
+                held = [pd.concat(held).groupby("a", as_index=False)["met"].sum()]
+                size = len(held[0])
+                if size > 2 * SENT:
+                    yield held[0]
+                    held, size = [], 0
+        if held:
+            yield pd.concat(held).groupby("a", as_index=False)["met"].sum()
+
+    return Cells(df, least, id, vector, weight).compare(each, "a long, met long", last).groupBy("a").agg(F.sum("met").alias("met"))
 
 
 def similar_classes(df: DataFrame, least: float, id: str = "ord", vector: str = "embedding") -> DataFrame:
     """(id, head, links): the class of equal vectors that a row is in, by its least id, and with how many rows ``similar_pairs`` would pair it.
 
-    Only heads are compared, so that copies cost no pairs.  A row without a
+    Only heads are compared, so that copies cost no pairs, and links are counted
+    where they are found, so that no row is made for a pair.  A row without a
     usable vector has a null head and no links.
     """
     ws = Workspace(df.sparkSession, "classes")
     rows = ws.write(df.select(F.col(id).cast("long").alias(id), F.col(vector).cast("array<double>").alias("v")), "rows")
     usable = F.col(id).isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)) & F.exists("v", lambda x: x != 0)
     heads = ws.write(rows.where(usable).groupBy("v").agg(F.min(id).alias("head"), F.count(F.lit(1)).alias("n")), "heads")  # written, so that a hot vector's join can be split
-    pairs = ws.write(similar_pairs(heads, least, "head", "v").select("a", "b"), "pairs")
-    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    met = both.join(heads.select(F.col("head").alias("b"), "n"), "b").groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("met"))
+    met = _met(heads, least, "head", "v", "n").withColumnRenamed("a", "head")
     own = F.when(cosine(F.col("v"), F.col("v")) >= least, F.col("n") - 1).otherwise(0)
     counted = ws.write(heads.join(met, "head", "left").select("v", "head", (F.coalesce("met", F.lit(0)) + own).alias("links")), "counted")
     return rows.join(counted, "v", "left").select(id, "head", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
 def block_report(df: DataFrame, least: float, id: str = "ord", vector: str = "embedding") -> DataFrame:
-    """One row of what ``similar_pairs`` compares: rows, copies, blocks, compared pairs, share_of_all pairs, largest_share of a block."""
-    x, y, _ = blocks(df, least, id, vector)
-    keys = ["cell", "i", "j"]
-    each = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("nx")).join(y.groupBy(*keys).agg(F.count(F.lit(1)).alias("ny")), keys)
-    rows = x.where("j = 0").agg(F.count(F.lit(1)).alias("rows")).join(y.where("i = 0").agg(F.count(F.lit(1)).alias("copies")))
-    made = each.agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.col("nx") * F.col("ny")).alias("compared"), F.max(F.col("nx") * F.col("ny")).alias("largest"))
+    """One row of what ``similar_pairs`` compares: rows, copies (rows, once for each cell in their reach), blocks, compared pairs, share_of_all pairs, largest_share of a block."""
+    pairs, rows, copies = _sizes(Cells(df, least, id, vector))
+    row = rows.agg(F.sum("nx").alias("rows")).join(copies.agg(F.sum("ny").alias("copies")))
+    each = F.when((F.col("cell") == F.col("own")) & (F.col("i") == F.col("j")), F.col("nx") * (F.col("nx") - 1) / 2).otherwise(F.col("nx") * F.col("ny")).cast("long")
+    made = pairs.agg(F.count(F.lit(1)).alias("blocks"), F.sum(each).alias("compared"), F.max(each).alias("largest"))
     n = F.col("rows").cast("double")
-    return rows.join(made).select("rows", "copies", "blocks", "compared", (F.col("compared") / (n * n / 2)).alias("share_of_all"), (F.col("largest") / F.col("compared")).alias("largest_share"))
+    return row.join(made).select("rows", "copies", "blocks", "compared", (F.col("compared") / (n * n / 2)).alias("share_of_all"), (F.col("largest") / F.col("compared")).alias("largest_share"))
 
 
 def code_vector(code: Column) -> Column:
