@@ -27,6 +27,14 @@ def unrelated(spark, n=300, d=16):
     return v, spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "ord long, embedding array<double>")
 
 
+def test_pairs_write_no_copies(spark, monkeypatch, written):
+    monkeypatch.setattr(metric, "CELL", 10)
+    v, df = unrelated(spark)
+    s = np.triu(v @ v.T, 1)
+    assert {(r["a"], r["b"]) for r in metric.similar_pairs(df, 0.4).collect()} == set(zip(*(k.tolist() for k in np.nonzero(s >= 0.4))))
+    assert max(written.values()) <= len(v)
+
+
 def test_classes_write_no_pairs(spark, monkeypatch, written):
     monkeypatch.setattr(metric, "CELL", 10)
     v, df = unrelated(spark)
