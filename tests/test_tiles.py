@@ -43,6 +43,14 @@ def test_classes_write_no_pairs(spark, monkeypatch, written):
     assert max(written.values()) <= len(v)
 
 
+def test_report_writes_counts_only(spark, monkeypatch, written):
+    monkeypatch.setattr(metric, "CELL", 30)
+    v, df = unrelated(spark)
+    r = metric.block_report(df, 0.4).first()
+    assert r["rows"] == len(v) and r["copies"] > 2 * len(v) and max(written.values()) <= len(v)
+    assert r["compared"] <= len(v) * (len(v) - 1) / 2
+
+
 @pytest.mark.parametrize("long", [1.0, 1e20, 1e-3])
 def test_candidates_miss_nothing_near_the_bound(long):
     r = np.random.default_rng(3)
