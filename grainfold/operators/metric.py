@@ -14,6 +14,7 @@ compared in all pairs, evenly dealt.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,7 +50,7 @@ def _in_reach(dots: np.ndarray, pivots: np.ndarray, least: float, wide: np.ndarr
     apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots[j], 0))
     far = np.sqrt(2 - 2 * least) + SLACK
     ok = np.arccos(np.clip(dots[:, j], -1, 1)) <= wide[j] + np.arccos(least) + SLACK
-    return ok & ((dots - dots[:, [j]] - far * apart).max(1) <= SLACK)
+    return ok & ((dots - far * apart).max(1) - dots[:, j] <= SLACK)
 
 
 def _sample(x: DataFrame, big: dict[str, int]) -> dict[str, np.ndarray]:
@@ -109,6 +110,7 @@ class Cells:
         self.cos = {r["cell"]: min(least / max(r["m"], 1e-300), 1.0) for r in sizes}
         self.pivots = _sample(x, {r["cell"]: r["n"] for r in sizes if r["n"] > 1})
         x, self.wide = _cells(x, self.pivots, self.cos, self.ws)
+        self.ws.drop("rows")
         # parts are dealt by hash to two thirds of BLOCK, so that few exceed it
         parts = F.ceil(F.count(F.lit(1)) * 3 / (2 * BLOCK)).cast("int")
         few = self.ws.write(x.groupBy("cell").agg(parts.alias("parts")), "parts")  # a row a cell
@@ -160,26 +162,74 @@ class Cells:
         return both.mapInPandas(lambda f: meet(f) if last is None else last(meet(f)), schema)
 
 
+def _reaching(c: Cells) -> Callable[[pd.DataFrame], Iterator[tuple[str, np.ndarray]]]:
+    """A function of rows of ``c``: (cell, places of the rows that may have partners in it), for the cells up to the rows' own; it may run in tasks."""
+    pivots, wide, cos = c.pivots, c.wide, c.cos
+
+    def each(f: pd.DataFrame) -> Iterator[tuple[str, np.ndarray]]:
+        for top, g in f.reset_index(drop=True).groupby(f["cell"].str.rpartition("/")[0].to_numpy(), sort=False):
+            if top not in pivots:
+                yield from ((own, at.to_numpy()) for own, at in g.groupby("cell").groups.items())
+                continue
+            p = pivots[top]
+            names = sorted(f"{top}/{j}" for j in range(len(p)))
+            g = g.sort_values("cell", kind="stable")
+            step = max(CHUNK // (8 * len(p)), 1)
+            for k in range(0, len(g), step):
+                own, at = g["cell"].iloc[k : k + step].to_numpy(object), g.index[k : k + step].to_numpy()
+                dots = _unit(_matrix(g["x"].iloc[k : k + step])) @ p.T
+                for cell in names:
+                    s, e = np.searchsorted(own, cell), np.searchsorted(own, cell, "right")
+                    ok = _in_reach(dots[e:], p, cos[top], wide[top], int(cell.rpartition("/")[2]))
+                    yield cell, np.concatenate([at[s:e], at[e:][ok]])
+
+    return each
+
+
 def _copies(c: Cells) -> DataFrame:
     """(b, cell, own, j): each row, of cell ``own`` and part j, once for every cell up to its own that may hold partners of it."""
-    may = c.reach()
-    near = {p: [f"{p}/{j}" for j in range(len(v))] for p, v in c.pivots.items()}
+    reaching = _reaching(c)
 
     def copy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for own, g in f.groupby("cell", sort=False):
-                y = _matrix(g["x"])
-                for cell in near.get(own.rpartition("/")[0], [own]):
-                    if cell <= own and (ok := may(cell, own, y)).any():
-                        yield pd.DataFrame({"b": g["a"][ok], "cell": cell, "own": own, "j": g["part"][ok]})
+            for cell, at in reaching(f):
+                if len(at):
+                    g = f.iloc[at]
+                    yield pd.DataFrame({"b": g["a"], "cell": cell, "own": g["cell"], "j": g["part"]})
 
     return c.rows.mapInPandas(copy, "b long, cell string, own string, j int")
 
 
+def _sides(c: Cells) -> DataFrame:
+    """(cell, own, j, ny): the numbers of ``_copies``, added up in tasks without a row for a copy; a few rows of one key."""
+    reaching = _reaching(c)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter = Counter()
+
+        def out() -> pd.DataFrame:
+            cell, own, j = zip(*held)
+            return pd.DataFrame({"cell": cell, "own": own, "j": j, "ny": list(held.values())})
+
+        for f in frames:
+            tile, names = pd.factorize(pd.MultiIndex.from_frame(f[["cell", "part"]]))
+            for cell, at in reaching(f):
+                n = np.bincount(tile[at], minlength=len(names))
+                for k in np.flatnonzero(n).tolist():
+                    held[(cell, *names[k])] += int(n[k])
+                if len(held) > SENT:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    return c.rows.mapInPandas(count, "cell string, own string, j int, ny long").groupBy("cell", "own", "j").agg(F.sum("ny").alias("ny"))
+
+
 def _sizes(c: Cells) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs of tiles, tiles, sides of tiles by the cells in their reach) with their numbers of rows, nx and ny; counts only."""
     tiles = c.ws.write(c.rows.groupBy("cell", F.col("part").alias("i")).agg(F.count(F.lit(1)).alias("nx")), "sizes")
-    sides = c.ws.write(_copies(c).groupBy("cell", "own", "j").agg(F.count(F.lit(1)).alias("ny")), "sides")
+    sides = c.ws.write(_sides(c), "sides")
     return c.ws.write(tiles.join(sides, "cell").where("cell <> own OR i <= j"), "pairs"), tiles, sides
 
 

@@ -51,6 +51,22 @@ def test_report_writes_counts_only(spark, monkeypatch, written):
     assert r["compared"] <= len(v) * (len(v) - 1) / 2
 
 
+def test_report_makes_no_row_for_a_copy(spark, monkeypatch):
+    monkeypatch.setattr(metric, "CELL", 30)
+    v, df = unrelated(spark)
+    c = metric.Cells(df.unionAll(df.selectExpr("ord + 1000", "slice(embedding, 1, 1)")), 0.7, "ord", "embedding")
+    want = {tuple(r) for r in metric._copies(c).groupBy("cell", "own", "j").count().collect()}
+    monkeypatch.setattr(metric, "_copies", None)
+    assert {tuple(r) for r in metric._sizes(c)[2].collect()} == want
+    may, rows = c.reach(), [(r["cell"], r["part"], np.array(r["x"])) for r in c.rows.collect()]
+    cells, got = {r[0] for r in rows}, {}
+    for own, j, x in rows:
+        for cell in cells:
+            if cell <= own and may(cell, own, x[None])[0]:
+                got[cell, own, j] = got.get((cell, own, j), 0) + 1
+    assert want == {(*k, n) for k, n in got.items()} and sum(got.values()) < len(rows) * len(cells) / 2
+
+
 @pytest.mark.parametrize("long", [1.0, 1e20, 1e-3])
 def test_candidates_miss_nothing_near_the_bound(long):
     r = np.random.default_rng(3)
