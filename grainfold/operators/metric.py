@@ -2,7 +2,7 @@
 
 Pivots from a bounded sample cut the rows into cells, each row to the pivot it
 is nearest to; cells are dealt into tiles of about BLOCK rows or fewer, packed.
-Every two tiles meet in some task, which reads the tiles it needs: no row is
+Every two tiles meet in some task, which reads the bundles of tiles it needs: no row is
 copied for it.  Of the second tile only rows are compared that can have a partner
 in the first's cell: not those further than the distance beyond the plane
 between its pivot and any other, nor those whose angle to the pivot exceeds the
@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +32,12 @@ CELL, LEAST_PIVOTS, MOST_PIVOTS, BLOCK = 1024, 8, 128, 2048
 SLACK = 1e-6
 #: Bytes of candidate pairs that are looked at together, and rows that are sent together.
 CHUNK, SENT = 1 << 24, 1 << 18
-#: Partitions of tiles a side, at most: their square is the number of tasks.
-SIDES = 24
+#: Bundles of tiles a side that are wanted, and bytes of vectors in one about: the square of their number is the number of tasks.
+SIDES, BUNDLE = 24, 1 << 23
 
 _PAIRS = "a long, b long, similarity double"
+_TILE = ["cell", "part", "a", "n", "x", "d"]
+_BUNDLE = "k int, cell array<string>, part array<int>, a binary, n binary, x binary, d array<int>, size array<int>"
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -108,6 +111,7 @@ class Cells:
         sizes = x.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).collect()  # a row a length
         # the dot product of vectors no longer than m reaches ``least`` only if their cosine reaches least / m
         self.cos = {r["cell"]: min(least / max(r["m"], 1e-300), 1.0) for r in sizes}
+        self.bytes = sum(8 * r["n"] * int(r["cell"]) for r in sizes)
         self.pivots = _sample(x, {r["cell"]: r["n"] for r in sizes if r["n"] > 1})
         x, self.wide = _cells(x, self.pivots, self.cos, self.ws)
         self.ws.drop("rows")
@@ -132,32 +136,52 @@ class Cells:
         return may
 
     def tiles(self) -> tuple[DataFrame, DataFrame]:
-        """Both sides of the comparison: packed tiles in as many partitions as even out, written once.  A pair of tiles is compared where the first's (cell, part) is not above the second's."""
+        """Both sides of the comparison: bundles of packed tiles of about BUNDLE bytes or less, one in each partition, written once."""
 
         def pack(f: pd.DataFrame) -> pd.DataFrame:
             m = _matrix(f["x"])
             return pd.DataFrame({"cell": f["cell"].iloc[:1], "part": f["part"].iloc[:1], "a": [f["a"].to_numpy(np.int64).tobytes()], "n": [f["n"].to_numpy(np.int64).tobytes()], "x": [m.tobytes()], "d": m.shape[1]})
 
-        t = self.ws.write(self.rows.groupBy("cell", "part").applyInPandas(pack, "cell string, part int, a binary, n binary, x binary, d int"), "tiles")
-        many = max(1, min(SIDES, t.count()))
-        t = t.repartition(many)
+        def bundle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            f = pd.concat([*frames, pd.DataFrame(columns=_TILE)])
+            if len(f):
+                yield pd.DataFrame({"k": [TaskContext.get().partitionId()], **{c: [b"".join(f[c]) if c in "anx" else f[c].tolist()] for c in _TILE}, "size": [[len(v) // 8 for v in f["a"]]]})
+
+        n = self.parts.agg(F.sum("parts")).first()[0] or 1
+        many = max(min(SIDES, n), -(-self.bytes // BUNDLE))
+        t = self.rows.groupBy("cell", "part").applyInPandas(pack, "cell string, part int, a binary, n binary, x binary, d int")
+        t = self.ws.write(t.repartition(many).mapInPandas(bundle, _BUNDLE), "tiles").repartitionById(many, F.col("k"))
         return tuple(t.select(*[F.col(c).alias(f"{c}{k}") for c in t.columns]) for k in (1, 2))
 
     def compare(self, each: Callable, schema: str, last: Callable | None = None) -> DataFrame:
-        """Rows of ``schema`` from ``each(ids, weights, vectors, ids, weights, vectors, same)`` of every two tiles that may hold partners, rows out of reach left out."""
+        """Rows of ``schema`` from ``each(ids, weights, vectors, ids, weights, vectors, same)`` of every two tiles that may hold partners, rows out of reach left out.
+
+        Two bundles meet as one row, and their tiles are taken apart by the task,
+        so that what is sent to Python grows with bundles, not with pairs of tiles.
+        """
         t, u = self.tiles()
-        order = F.struct("cell1", "part1") <= F.struct("cell2", "part2")
-        both = t.hint("shuffle_replicate_nl").join(u, (F.col("d1") == F.col("d2")) & order)
+        both = t.hint("shuffle_replicate_nl").join(u, F.col("k1") <= F.col("k2"))
         may = self.reach()
 
+        def opened(r: tuple, k: int) -> list[tuple]:
+            """(cell, part, length, ids, weights, vectors) of each tile of a bundle, without copies."""
+            a, n, x = (np.frombuffer(getattr(r, f"{c}{k}"), t) for c, t in (("a", np.int64), ("n", np.int64), ("x", np.float64)))
+            size, d = (np.asarray(getattr(r, f"{c}{k}"), np.int64) for c in ("size", "d"))
+            at, xs = np.cumsum(size)[:-1], np.cumsum(size * d)[:-1]
+            return [(c, p, w, i, m, v.reshape(-1, w)) for c, p, w, i, m, v in zip(getattr(r, f"cell{k}"), getattr(r, f"part{k}"), d, np.split(a, at), np.split(n, at), np.split(x, xs))]
+
         def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 for r in f.itertuples(index=False):
-                    x, y = (np.frombuffer(v, np.float64).reshape(-1, r.d1) for v in (r.x1, r.x2))
-                    a, n, b, m = (np.frombuffer(v, np.int64) for v in (r.a1, r.n1, r.a2, r.n2))
-                    ok = may(r.cell1, r.cell2, y)
-                    if ok.any():
-                        yield from each(a, n, x, b[ok], m[ok], y[ok], (r.cell1, r.part1) == (r.cell2, r.part2))
+                    left, right = opened(r, 1), opened(r, 2)
+                    for s in left:
+                        for t in right:
+                            if s[2] != t[2] or r.k1 == r.k2 and s[:2] > t[:2]:
+                                continue
+                            (cell, _, _, a, n, x), (own, _, _, b, m, y) = sorted((s, t), key=lambda v: v[:2])
+                            ok = may(cell, own, y)
+                            if ok.any():
+                                yield from each(a, n, x, b[ok], m[ok], y[ok], s[:2] == t[:2])
 
         return both.mapInPandas(lambda f: meet(f) if last is None else last(meet(f)), schema)
 

@@ -35,6 +35,20 @@ def test_pairs_write_no_copies(spark, monkeypatch, written):
     assert max(written.values()) <= len(v)
 
 
+def test_tiles_meet_in_bundles(spark, monkeypatch):
+    for name, value in (("CELL", 10), ("BLOCK", 30), ("SIDES", 3)):
+        monkeypatch.setattr(metric, name, value)
+    v, df = unrelated(spark)
+    both = df.unionAll(df.selectExpr("ord + 1000", "slice(embedding, 1, 8)"))
+    c = metric.Cells(both, 0.4, "ord", "embedding")
+    t = c.tiles()[0]
+    assert t.count() <= 3 < c.rows.select("cell", "part").distinct().count()  # a row sent to Python for two bundles, not for two tiles
+    monkeypatch.setattr(metric, "BUNDLE", 5000)
+    got = [(r["a"], r["b"]) for r in metric.similar_pairs(both, 0.4).collect()]
+    want = {(a + k, b + k) for k, m in ((0, v), (1000, v[:, :8])) for a, b in zip(*(i.tolist() for i in np.nonzero(np.triu(m @ m.T, 1) >= 0.4)))}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_classes_write_no_pairs(spark, monkeypatch, written):
     monkeypatch.setattr(metric, "CELL", 10)
     v, df = unrelated(spark)
