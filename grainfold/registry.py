@@ -19,10 +19,11 @@ COSINE_LEAST = 0.4
 r6 = lambda c: F.round(c, 6)
 
 
-def _coded(spark: SparkSession, sf: str) -> DataFrame:
-    """The catalog with codes and without texts, written once."""
-    p = photos(spark, sf)
-    coded = p.drop("text").join(grouping.text_grid_hash(p).withColumnRenamed("ord", "__o"), F.col("ord") == F.col("__o"), "left").drop("__o")
+def _coded(spark: SparkSession, sf: str, *names: str) -> DataFrame:
+    """The catalog (of it the columns ``names``, if any) with codes and without contents, written once; texts are read where they lie, and never shuffled."""
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text")
+    p = photos(spark, sf).drop("text", "content_hash")
+    coded = p.select(*names or p.columns).join(grouping.text_grid_hash(texts).withColumnRenamed("ord", "__o"), F.col("ord") == F.col("__o"), "left").drop("__o")
     return Workspace(spark, "catalog").write(coded, "coded")
 
 
@@ -124,16 +125,16 @@ def text_grid_dhash(spark, sf):
 
 
 def hamming_pairs(spark, sf):
-    return grouping.hamming_pairs(_coded(spark, sf))
+    return grouping.hamming_pairs(_coded(spark, sf, "ord", "capture_s"))
 
 
 def duplicate_groups(spark, sf):
-    return grouping.duplicate_groups(_coded(spark, sf))
+    return grouping.duplicate_groups(_coded(spark, sf, "ord", "capture_s"))
 
 
 def incremental_groups(spark, sf):
     """``duplicate_groups`` of photos that come in two batches, a tenth of them in the second."""
-    p = _coded(spark, sf)
+    p = _coded(spark, sf, "ord", "capture_s")
     kept = increments.GroupIndex(spark, f"{Workspace(spark, 'kept').path}/groups")
     late = F.xxhash64("ord") % 10 == 0
     kept.add(p.where(~late))
@@ -142,7 +143,7 @@ def incremental_groups(spark, sf):
 
 
 def group_sizes(spark, sf):
-    return grouping.duplicate_groups(_coded(spark, sf)).groupBy("duplicate_group").agg(F.count(F.lit(1)).alias("photos"))
+    return grouping.duplicate_groups(_coded(spark, sf, "ord", "capture_s")).groupBy("duplicate_group").agg(F.count(F.lit(1)).alias("photos"))
 
 
 def exact_duplicates(spark, sf):

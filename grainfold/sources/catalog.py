@@ -54,8 +54,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document, as a measured photo without its perceptual hash."""
-    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("lid"), "quality")
+    """One row per document, as a measured photo without its perceptual hash.  Contents are hashed before labels are joined, so a plan without ``text`` shuffles none."""
+    d, lab = table(spark, sf_dir, "documents").withColumn("content_hash", F.sha2("text", 256)), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("lid"), "quality")
     i = F.col("doc_id")
     dbl = lambda c: c.cast("double")
     faces = F.struct((i % 4).cast("int").alias("count"), (dbl(i * 17 % 50) * F.lit(0.01)).alias("largest_face_frac"), (dbl(i * 29 % 100) * F.lit(0.01)).alias("main_face_centered"))
@@ -67,7 +67,7 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(lab, i == F.col("lid"), "left").select(
         i.alias("ord"), F.concat(F.col("source"), F.lit("/"), i.cast("string"), F.lit(".jpg")).alias("path"), F.col("n_chars").alias("file_size"),
         (F.lit(640) + i * 37 % 5000).cast("int").alias("width"), (F.lit(480) + i * 53 % 4000).cast("int").alias("height"),
-        F.when(i % 5 != 0, F.lit(EPOCH) + i * 7).alias("capture_s"), F.sha2("text", 256).alias("content_hash"), quality.alias("quality"),
+        F.when(i % 5 != 0, F.lit(EPOCH) + i * 7).alias("capture_s"), "content_hash", quality.alias("quality"),
         mean.alias("aesthetic_mean"), F.when(i % 6 != 0, faces).alias("faces"), F.col("text"),
     )
 

@@ -76,3 +76,31 @@ def test_batches_of_many_near_codes_keep_few_links(spark, tmp_path, monkeypatch)
     kept.add(spark.createDataFrame([(150 + k, v, None) for k, v in enumerate(c[150:])], CODES))
     assert kept.groups().where("duplicate_group = 0").count() == len(c)
     assert len(seen) == 4 and all(x.count() < 2 * len(c) for x in seen)
+
+
+def test_codes_are_made_without_moving_texts(spark, tmp_path, monkeypatch):
+    from grainfold import registry
+    from grainfold.plans.workspace import Workspace
+
+    docs = [(k, f"{'so many words ' * (k % 3)}{k % 4}", "en", "web", 9) for k in range(12)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in (1, 1, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")  # one twice
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name: df)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for p in (registry._coded(spark, str(tmp_path)), registry._coded(spark, str(tmp_path), "ord", "capture_s"), registry.photos(spark, str(tmp_path)).drop("text")):
+            todo, wide = [p._jdf.queryExecution().executedPlan()], []
+            while todo:
+                n = todo.pop()
+                todo += [n.children().apply(i) for i in range(n.children().size())]
+                if n.nodeName().startswith("Exchange"):
+                    wide += [x.split("#")[0] for x in n.output().mkString(" ").split()]
+            assert wide and "text" not in wide
+        got = registry._coded(spark, str(tmp_path)).select("ord", "perceptual_hash").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    p = registry.photos(spark, str(tmp_path))
+    assert sorted(map(tuple, got)) == sorted(tuple(r) for r in p.select("ord").join(grouping.text_grid_hash(p), "ord").collect()) and len(got) == 13
