@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from grainfold.plans.workspace import Workspace
 
-#: Codes in a part of the left side at most, and in one of the right; parts of the left side that are wanted, if they hold LEAST codes.
-LEFT, RIGHT, WANTED, LEAST = 1 << 16, 1 << 18, 24, 1 << 11
+#: Codes in a part of the left side at most, and in one of the right; pairs of parts that are wanted, if the longer side's would hold LEAST codes.
+LEFT, RIGHT, WANTED, LEAST = 1 << 18, 1 << 18, 24, 1 << 11
 #: Blocks that a code is cut into, pairs up to which parts are compared as they are, and pairs that are looked at or sent together.
 CUTS, SMALL, STEP = 5, 1 << 24, 1 << 18
 
@@ -38,6 +38,14 @@ def _parts(df: DataFrame, n: int, ws: Workspace, name: str) -> DataFrame:
     return ws.write(packed, name).repartitionById(n, F.col("part").cast("int"))
 
 
+def _cut(n: int, m: int) -> tuple[int, int]:
+    """Parts of the two sides, of n and m rows: such that the rows of the parts that meet, which bound the pairs that connect them, are few."""
+    wanted = max(1, min(WANTED, -(-max(n, m) // LEAST)))
+    least = max(1, -(-n // LEFT))
+    cuts = [(k, max(1, -(-m // RIGHT), -(-wanted // k))) for k in range(least, max(least, wanted) + 1)]
+    return min(cuts, key=lambda c: (c[0] * m + c[1] * n, c))
+
+
 @cache
 def _flips(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(min(radius, bits) + 1) for c in combinations(range(bits), r)], np.int64)
@@ -124,8 +132,7 @@ def near(left: DataFrame, right: DataFrame, threshold: int, joined: bool = False
     ws = Workspace(left.sparkSession, "codes")
     sides = [d.toDF("id", "code").select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code")).dropna() for d in (left, right)]
     sides = [ws.write(d, name) for d, name in zip(sides, ("left", "right"))]
-    n, m = (d.count() for d in sides)
-    parts = [max(-(-n // LEFT), min(WANTED, -(-n // LEAST)), 1), max(-(-m // RIGHT), 1)]
+    parts = _cut(*(d.count() for d in sides))
     x, y = (_parts(d, k, ws, f"{name}-parts") for d, k, name in zip(sides, parts, ("left", "right")))
     both = x.select(F.col("ids").alias("a"), F.col("codes").alias("x")).hint("shuffle_replicate_nl").crossJoin(y.select(F.col("ids").alias("b"), F.col("codes").alias("y")))
 

@@ -78,6 +78,20 @@ def test_batches_of_many_near_codes_keep_few_links(spark, tmp_path, monkeypatch)
     assert len(seen) == 4 and all(x.count() < 2 * len(c) for x in seen)
 
 
+def test_parts_are_cut_for_few_links(spark, monkeypatch):
+    for n, m in ((51_282, 256_410), (615_000, 3_080_000), (10_000_000, 60_000_000), (0, 0), (5, 100), (100_000, 10)):
+        p, q = codes._cut(n, m)
+        assert -(-n // p) <= codes.LEFT and -(-m // q) <= codes.RIGHT
+        assert p * q >= min(codes.WANTED, max(n, m) // codes.LEAST) and p * m + q * n <= max(24, -(-n // (1 << 16))) * m + -(-m // codes.RIGHT) * n + n
+    assert all(p * 3_080_000 + q * 615_000 < 20_000_000 for p, q in [codes._cut(615_000, 3_080_000)])
+    monkeypatch.setattr(codes, "LEAST", 20)
+    c = near_each_other(480)
+    near = grouping.near_codes(*(spark.createDataFrame([(v,) for v in x], f"{k} long") for k, x in (("l", c[::5]), ("r", c))), joined=True)
+    got = near.collect()
+    assert len(got) < 5 * len(c)  # 24 parts of the left would each tie all of the right
+    assert set(components(len(c), [(c.index(a), c.index(b)) for a, b in got])) == {0}
+
+
 def test_codes_are_made_without_moving_texts(spark, tmp_path, monkeypatch):
     from grainfold import registry
     from grainfold.plans.workspace import Workspace
