@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from grainfold.functions.formulas import hamming, pack_bits
 from grainfold.operators import codes
@@ -18,21 +24,50 @@ THRESHOLD, WINDOW_S = 10, 30
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Rows of a time bucket up to which they are compared with each other; a larger bucket joins by code blocks too.
 BUCKET_MOST = 256
+#: Cells that the tokens of a text fall into, and bytes of texts that are split together.
+CELLS, CHUNK = 72, 1 << 22
+
+
+def _cells(words: pa.Array) -> np.ndarray:
+    """The cell of each word: the first two bytes of its MD5, modulo 72."""
+    words = words.dictionary_encode()
+    of = [int.from_bytes(md5(w).digest()[:2], "big") % CELLS for w in words.dictionary.cast(pa.binary()).to_pylist()]
+    return np.array(of, np.int64)[words.indices.to_numpy()]
+
+
+def _cell_counts(texts: pa.Array) -> Iterator[pa.Array]:
+    """How many tokens of each text fall into each cell, for as many texts at a time as hold CHUNK bytes (or for one)."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        tok = pc.split_pattern(texts[at:end], " ")
+        rows = np.repeat(np.arange(end - at), pc.list_value_length(tok).to_numpy())
+        counts = np.bincount(rows * CELLS + _cells(tok.flatten()), minlength=(end - at) * CELLS)
+        yield pa.ListArray.from_arrays(np.arange(end - at + 1, dtype=np.int32) * CELLS, counts.astype(np.int32))
+        at = end
 
 
 def text_grid_hash(p: DataFrame) -> DataFrame:
     """(ord, perceptual_hash): the stand-in perceptual code of a row's text.
 
     Each token falls into one of 9 x 8 cells; a bit says whether a cell holds
-    more tokens than the next.  Tokens are counted by cell before any shuffle,
-    so a row of any length moves 72 counts at most.
+    more tokens than the next.  Tokens are counted where their text is read, so
+    a row of any length moves as one small array; rows of one ord add up.
     """
-    tok = p.select("ord", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), " ", -1)).alias("t"))
-    cell = F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 4), 16, 10).cast("int") % 72
-    counts = tok.groupBy("ord", cell.alias("cell")).agg(F.count(F.lit(1)).alias("c"))
-    cells = counts.groupBy("ord").agg(F.map_from_entries(F.collect_list(F.struct("cell", "c"))).alias("m"))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0).cast("long")))
-    return cells.select("ord", F.explode(F.array(grid)).alias("grid")).select("ord", pack_bits(F.col("grid")).alias("perceptual_hash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            for counts in _cell_counts(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + len(counts)], counts], ["ord", "cells"])
+                at += len(counts)
+
+    low = p.select("ord", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    counts = low.mapInArrow(run, StructType([p.schema["ord"], StructField("cells", ArrayType(IntegerType()))]))
+    each = counts.groupBy("ord").agg(F.collect_list("cells").alias("each"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda k: F.aggregate("each", F.lit(0).cast("long"), lambda s, x: s + F.get(x, k)))
+    return each.select("ord", F.explode(F.array(grid)).alias("grid")).select("ord", pack_bits(F.col("grid")).alias("perceptual_hash"))
 
 
 def same_shot(a: str, b: str, threshold: int = THRESHOLD, window_s: int | None = WINDOW_S) -> Column:

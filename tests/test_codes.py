@@ -118,3 +118,39 @@ def test_codes_are_made_without_moving_texts(spark, tmp_path, monkeypatch):
             spark.conf.set(k, v)
     p = registry.photos(spark, str(tmp_path))
     assert sorted(map(tuple, got)) == sorted(tuple(r) for r in p.select("ord").join(grouping.text_grid_hash(p), "ord").collect()) and len(got) == 13
+
+
+def shuffled_rows(spark, df):
+    """Rows that the shuffles of ``df`` write."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = df._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    plan.execute().count()
+    todo, rows = [plan], []
+    while todo:
+        n = todo.pop()
+        todo += [n.children().apply(i) for i in range(n.children().size())]
+        if n.nodeName().startswith("Exchange"):
+            rows.append(n.metrics().apply("shuffleRecordsWritten").value())
+    return rows
+
+
+def test_codes_move_a_row_for_each_text(spark, monkeypatch):
+    from hashlib import md5
+
+    texts = [(k, " ".join(f"w{k}-{j}" for j in range(300))) for k in range(20)]
+    df = spark.createDataFrame(texts, "ord long, text string").repartition(3)
+    assert sum(shuffled_rows(spark, grouping.text_grid_hash(df))) <= 20 + len(texts)  # those of repartition, and one for each text
+    odd = [(0, None), (1, ""), (2, " "), (3, "  a  B "), (4, "É \U0001f600 é"), (5, "a\nb\tc A B"), (6, "x " * 999), (1, "the same id again"), (None, "no id"), (-5, "one"), *texts[7:9]]
+    monkeypatch.setattr(grouping, "CHUNK", 900)
+    cells = {}
+    for o, t in odd:
+        c = cells.setdefault(o, [0] * 72)
+        for w in (t or "").lower().split(" "):
+            c[int(md5(w.encode()).hexdigest()[:4], 16) % 72] += 1
+    code = {o: sum(1 << b for b in range(64) if c[9 * (b // 8) + b % 8] > c[9 * (b // 8) + b % 8 + 1]) for o, c in cells.items()}
+    got = grouping.text_grid_hash(spark.createDataFrame(odd, "ord long, text string")).collect()
+    assert len(got) == len(code) and {o: h % (1 << 64) for o, h in got} == code
