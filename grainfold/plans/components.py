@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainfold.plans.workspace import Workspace
+from grainfold.plans.workspace import Workspace, dropped_shuffles
 
 
 #: Tasks that the edges of one node are dealt to, and so copies of each node's minimum.
@@ -45,7 +45,8 @@ def _settled(e: DataFrame) -> bool:
     """Whether every node hangs under exactly one node that hangs under none."""
     one = F.lit(1)
     ends = e.select(F.col("u").alias("n"), one.alias("up"), F.lit(0).alias("down")).unionAll(e.select(F.col("v").alias("n"), F.lit(0).alias("up"), one.alias("down")))
-    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+    with dropped_shuffles(e.sparkSession):
+        return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, ws: Workspace, src: str = "src", dst: str = "dst", name: str = "cc", max_rounds: int = 60) -> DataFrame:

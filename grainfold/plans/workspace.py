@@ -3,16 +3,40 @@
 Iterative plans cut their lineage by writing a Parquet table and reading it
 again.  The folder comes from ``spark.checkpoint.dir``; a machine-local folder
 is used only when that is unset and the session is a local one (tests).
+
+What was shuffled for such a table is of no use once it is written, but Spark
+keeps it until the driver happens to collect its garbage, so the shuffles of a
+long plan would add up on disk: they are removed with each table.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting by which an execution removes its shuffle files when it ends.
+DROPS_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Whatever is executed within removes its shuffle files when it ends.  For results that are read once: frames run anew shuffle anew."""
+    before = spark.conf.get(DROPS_SHUFFLES, None)
+    spark.conf.set(DROPS_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(DROPS_SHUFFLES)
+        else:
+            spark.conf.set(DROPS_SHUFFLES, before)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder, without a trailing slash."""
     conf = spark.sparkContext.getConf()
@@ -58,7 +82,8 @@ class Workspace:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read back, with the lineage cut."""
         at = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(at)
+        with dropped_shuffles(self.spark):
+            df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str) -> None:
