@@ -24,16 +24,20 @@ def midpoint_percentile(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.join(ranks, F.col(value) == F.col("__v"), "left").withColumn(out, F.coalesce("__r", X.num(0.5))).drop("__v", "__r")
 
 
-def sub_scores(p: DataFrame, w: X.Weights = X.Weights()) -> DataFrame:
-    """Adds sharpness, exposure, resolution, aesthetic and face_bonus."""
+def own_scores(p: DataFrame, w: X.Weights = X.Weights()) -> DataFrame:
+    """Adds exposure, resolution, aesthetic and face_bonus, which need no other row."""
     q, f = F.col("quality"), F.col("faces")
-    p = midpoint_percentile(p.withColumn("__s", q["sharpness_raw"]), "__s", "sharpness").drop("__s")
     return p.withColumns({
         "exposure": X.exposure(q["clipped_highlights_pct"], q["clipped_shadows_pct"], q["mean_luma"]), "resolution": X.resolution(F.col("width"), F.col("height")),
         "aesthetic": X.aesthetic(F.col("aesthetic_mean")), "face_bonus": X.face_bonus(f["count"], f["largest_face_frac"], f["main_face_centered"], w.face_bonus),
     })
 
 
+def sub_scores(p: DataFrame, w: X.Weights = X.Weights()) -> DataFrame:
+    """Adds sharpness and ``own_scores``."""
+    return own_scores(midpoint_percentile(p.withColumn("__s", F.col("quality.sharpness_raw")), "__s", "sharpness").drop("__s"), w)
+
+
 def score(p: DataFrame, w: X.Weights = X.Weights()) -> DataFrame:
     """``sub_scores`` and composite_score."""
     return rescore(sub_scores(p, w), w)

@@ -27,20 +27,26 @@ def _coded(spark: SparkSession, sf: str, *names: str) -> DataFrame:
     return Workspace(spark, "catalog").write(coded, "coded")
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    """The catalog scored and grouped, written once."""
+def _scored(spark: SparkSession, sf: str, *names: str) -> DataFrame:
+    """``names`` of the catalog scored and grouped, written once.  Rows travel with their own scores, not with what these are made of, and only with what is asked for."""
     p = _coded(spark, sf)
-    return Workspace(spark, "catalog").write(scoring.score(grouping.add_groups(p, grouping.duplicate_groups(p))), "scored")
+    own = scoring.own_scores(p).select("ord", "path", F.col("quality.sharpness_raw").alias("__s"), "exposure", "resolution", "aesthetic", "face_bonus")
+    scores = scoring.rescore(scoring.midpoint_percentile(own, "__s", "sharpness"), X.Weights()).drop("__s")
+    grouped = grouping.add_groups(scores.select("ord", *(c for c in names if c not in ("ord", "duplicate_group"))), grouping.duplicate_groups(p))
+    return Workspace(spark, "catalog").write(grouped, "scored")
 
 
-def _culled(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.pre_reject(scoring.mark_winners(_scored(spark, sf)))
+def _culled(spark: SparkSession, sf: str, *names: str) -> DataFrame:
+    """``names`` of the scored catalog with winners and proposed rejects."""
+    needed = ("sharpness", "exposure", "composite_score", "duplicate_group")
+    return scoring.pre_reject(scoring.mark_winners(_scored(spark, sf, *needed, *(c for c in names if c not in needed))))
 
 
 def score_photos(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: the batch scored, grouped, with winners and proposed rejects."""
-    subs = [r6(F.col(c)).alias(c) for c in ("sharpness", "exposure", "resolution", "aesthetic", "face_bonus", "composite_score")]
-    return _culled(spark, sf).select("ord", "path", *subs, "duplicate_group", "is_group_winner", "status")
+    names = ("sharpness", "exposure", "resolution", "aesthetic", "face_bonus", "composite_score")
+    subs = [r6(F.col(c)).alias(c) for c in names]
+    return _culled(spark, sf, "path", *names).select("ord", "path", *subs, "duplicate_group", "is_group_winner", "status")
 
 
 def sharpness_percentile(spark, sf):
@@ -83,7 +89,7 @@ def ranking_slice(spark, sf):
 
 
 def group_winners(spark, sf):
-    p = _scored(spark, sf).withColumn("composite_score", r6(F.col("composite_score")))
+    p = _scored(spark, sf, "composite_score").withColumn("composite_score", r6(F.col("composite_score")))
     return scoring.best_of(p, "duplicate_group")
 
 
@@ -152,7 +158,7 @@ def exact_duplicates(spark, sf):
 
 def ranked_group_markers(spark, sf):
     """Every photo by score, marked where its group differs from the row before."""
-    p = _scored(spark, sf).select("ord", r6(F.col("composite_score")).alias("composite_score"), "duplicate_group")
+    p = _scored(spark, sf, "composite_score").select("ord", r6(F.col("composite_score")).alias("composite_score"), "duplicate_group")
     before = F.col("previous")
     start = F.col("duplicate_group").isNotNull() & (before.isNull() | (before != F.col("duplicate_group")))
     return scoring.ranked(p, carry="duplicate_group").select("ord", "composite_score", "duplicate_group", "rank", start.alias("starts_group"))

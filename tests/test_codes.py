@@ -154,3 +154,31 @@ def test_codes_move_a_row_for_each_text(spark, monkeypatch):
     code = {o: sum(1 << b for b in range(64) if c[9 * (b // 8) + b % 8] > c[9 * (b // 8) + b % 8 + 1]) for o, c in cells.items()}
     got = grouping.text_grid_hash(spark.createDataFrame(odd, "ord long, text string")).collect()
     assert len(got) == len(code) and {o: h % (1 << 64) for o, h in got} == code
+
+
+def test_scored_rows_travel_with_what_is_asked_for(spark, tmp_path, monkeypatch):
+    from grainfold import registry
+    from grainfold.plans.workspace import Workspace
+
+    docs = [(k, f"{'so many words ' * (k % 3)}{k % 4}", "en", "web", 9 + k % 5) for k in range(12)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in (1, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    written, plain = {}, Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name: written.update({name: df}) or plain(self, df, name))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for query, more in ((registry.ranked_group_markers, set()), (registry.group_winners, set()), (registry.pre_reject, {"exposure", "sharpness"})):
+        query(spark, str(tmp_path))
+        assert set(written["scored"].columns) == {"ord", "composite_score", "duplicate_group"} | more
+        try:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            todo, wide = [written["scored"].select("*")._jdf.queryExecution().executedPlan()], set()
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        while todo:
+            n = todo.pop()
+            todo += [n.children().apply(i) for i in range(n.children().size())]
+            if n.nodeName().startswith("Exchange"):
+                wide |= {x.split("#")[0] for x in n.output().mkString(" ").split()}
+        assert "composite_score" in wide and not wide & {"quality", "faces", "path", "width", "height", "aesthetic_mean"}
