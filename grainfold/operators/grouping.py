@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import md5
 from itertools import combinations
 
@@ -11,13 +11,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StructField, StructType
 
 from grainfold.functions.formulas import hamming, pack_bits
 from grainfold.operators import codes
 from grainfold.plans.components import connected_components
 from grainfold.plans.ranges import running
-from grainfold.plans.workspace import Workspace
+from grainfold.plans.workspace import Workspace, dropped_shuffles
 
 THRESHOLD, WINDOW_S = 10, 30
 #: Places and widths of the blocks that a 64-bit code is split into for the join within full time buckets.
@@ -35,36 +35,53 @@ def _cells(words: pa.Array) -> np.ndarray:
     return np.array(of, np.int64)[words.indices.to_numpy()]
 
 
-def _cell_counts(texts: pa.Array) -> Iterator[pa.Array]:
-    """How many tokens of each text fall into each cell, for as many texts at a time as hold CHUNK bytes (or for one)."""
+def _cell_counts(texts: pa.Array) -> Iterator[np.ndarray]:
+    """How many tokens of each text fall into each cell, a row for each text, for as many texts at a time as hold CHUNK bytes (or for one)."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
         tok = pc.split_pattern(texts[at:end], " ")
         rows = np.repeat(np.arange(end - at), pc.list_value_length(tok).to_numpy())
-        counts = np.bincount(rows * CELLS + _cells(tok.flatten()), minlength=(end - at) * CELLS)
-        yield pa.ListArray.from_arrays(np.arange(end - at + 1, dtype=np.int32) * CELLS, counts.astype(np.int32))
+        yield np.bincount(rows * CELLS + _cells(tok.flatten()), minlength=(end - at) * CELLS).reshape(-1, CELLS)
         at = end
 
 
+def _listed(counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(counts) + 1, dtype=np.int32) * CELLS, counts.astype(np.int32).ravel())
+
+
+def _packed(counts: np.ndarray) -> pa.Array:
+    """``pack_bits`` of each row of counts."""
+    grid = counts.reshape(len(counts), 8, 9)
+    bits = np.packbits((grid[:, :, :-1] > grid[:, :, 1:]).reshape(len(counts), 64), axis=1, bitorder="little")
+    return pa.array(bits.view("<i8").ravel())
+
+
 def text_grid_hash(p: DataFrame) -> DataFrame:
     """(ord, perceptual_hash): the stand-in perceptual code of a row's text.
 
     Each token falls into one of 9 x 8 cells; a bit says whether a cell holds
-    more tokens than the next.  Tokens are counted where their text is read, so
-    a row of any length moves as one small array; rows of one ord add up.
+    more tokens than the next.  Tokens are counted, and codes made, where their
+    text is read, so nothing is shuffled.  Rows of one ord add up: only where
+    there are such, which is looked up first, each text moves as one small array.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = 0
-            for counts in _cell_counts(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + len(counts)], counts], ["ord", "cells"])
-                at += len(counts)
-
-    low = p.select("ord", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    counts = low.mapInArrow(run, StructType([p.schema["ord"], StructField("cells", ArrayType(IntegerType()))]))
+    def mapped(name: str, kind: DataType, made: Callable[[np.ndarray], pa.Array]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = 0
+                for counts in _cell_counts(b.column(1)):
+                    yield pa.RecordBatch.from_arrays([b.column(0)[at : at + len(counts)], made(counts)], ["ord", name])
+                    at += len(counts)
+
+        return p.select("ord", F.lower(F.coalesce("text", F.lit(""))).alias("low")).mapInArrow(run, StructType([p.schema["ord"], StructField(name, kind)]))
+
+    with dropped_shuffles(p.sparkSession):
+        once = p.groupBy("ord").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
+    if once:
+        return mapped("perceptual_hash", LongType(), _packed)
+    counts = mapped("cells", ArrayType(IntegerType()), _listed)
     each = counts.groupBy("ord").agg(F.collect_list("cells").alias("each"))
     grid = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda k: F.aggregate("each", F.lit(0).cast("long"), lambda s, x: s + F.get(x, k)))
     return each.select("ord", F.explode(F.array(grid)).alias("grid")).select("ord", pack_bits(F.col("grid")).alias("perceptual_hash"))
@@ -121,10 +138,10 @@ def timed_pairs(p: DataFrame, threshold: int = THRESHOLD, window_s: int = WINDOW
     row by row.
     """
     t = p.where("capture_s IS NOT NULL AND perceptual_hash IS NOT NULL").select("ord", "perceptual_hash", "capture_s", F.floor(F.col("capture_s") / (window_s + 1)).alias("z"))
-    ahead = t.select("ord", "perceptual_hash", "capture_s", F.explode(F.array(F.col("z"), F.col("z") - 1)).alias("z"), F.col("z").alias("own"))
+    ahead = t.select("ord", "perceptual_hash", "capture_s", F.explode(F.array(F.col("z"), F.col("z") - 1)).alias("z"))
     full = ahead.groupBy(F.col("z").alias("f")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select("f")
     full = Workspace(p.sparkSession, "buckets").write(full, "full")
-    near = (F.col("b.own") > F.col("a.z")) | (F.col("a.ord") < F.col("b.ord"))
+    near = (F.floor(F.col("b.capture_s") / (window_s + 1)) > F.col("a.z")) | (F.col("a.ord") < F.col("b.ord"))
 
     def meet(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
         hit = a.hint("merge").alias("a").join(b.alias("b"), on & near).where(same_shot("a", "b", threshold, window_s))
@@ -161,17 +178,19 @@ def group_links(p: DataFrame, threshold: int = THRESHOLD, window_s: int | None =
     rows = p.where("perceptual_hash IS NOT NULL").select("ord", "perceptual_hash", F.lit(None).cast("long").alias("capture_s") if window_s is None else F.col("capture_s"))
     free = rows.where("capture_s IS NULL").groupBy(F.col("perceptual_hash").alias("l")).agg(F.min("ord").alias("head"))
     near = near_codes(free.select("l"), rows.select(F.col("perceptual_hash").alias("r")).distinct(), threshold, joined=True)
-    near = Workspace(p.sparkSession, "near").write(near.join(free, "l"), "near")
+    ws = Workspace(p.sparkSession, "near")
+    near = ws.write(near.join(free, "l"), "near")
     first = near.groupBy("r").agg(F.min("head").alias("first"))
     ties = near.join(first, "r").select(F.col("head").alias("src"), F.col("first").alias("dst"))
     hung = rows.join(first, F.col("perceptual_hash") == F.col("r")).select(F.col("ord").alias("src"), F.col("first").alias("dst"))
     out = ties.unionAll(hung)
-    if window_s is not None:
+    if window_s is not None:  # kinds of links are written one after the other, so that their shuffles don't add up
+        out = ws.write(out.where("src <> dst"), "untimed")
         timed = rows.where("capture_s IS NOT NULL")
-        heads = timed.groupBy("perceptual_hash", "capture_s").agg(F.min("ord").alias("ord"))
-        h = heads.withColumnRenamed("ord", "head")
-        out = out.unionAll(timed.join(h, ["perceptual_hash", "capture_s"]).select(F.col("ord").alias("src"), F.col("head").alias("dst")))
-        out = out.unionAll(timed_pairs(heads, threshold, window_s))
+        heads = ws.write(timed.groupBy("perceptual_hash", "capture_s").agg(F.min("ord").alias("ord"), F.max("ord").alias("last")), "heads")
+        h = heads.where("ord <> last").select("perceptual_hash", "capture_s", F.col("ord").alias("head"))
+        same = timed.join(h, ["perceptual_hash", "capture_s"]).select(F.col("ord").alias("src"), F.col("head").alias("dst"))
+        out = out.unionAll(ws.write(same.where("src <> dst"), "same")).unionAll(ws.write(timed_pairs(heads.drop("last"), threshold, window_s), "timed"))
     return out.where("src <> dst")
 
 

@@ -5,8 +5,11 @@ round hangs every node under the least neighbour it knows; minima are taken by
 partial aggregation, so a hub with a huge number of neighbours sends one row per
 map task.  Edges meet those minima by node and salt: a hub's edges are dealt to
 SALTS tasks, and since neither side of such a join comes from an aggregation on
-its keys, adaptive execution may split a task further.  Rounds end once every
-node hangs under a root.  Nothing is collected but two flags per round.
+its keys, adaptive execution may split a task further.  Only hubs, of which there
+are fewer than HUBS, have more than one salt, so minima are not copied for all
+nodes.  Each half of a round is written, as its rows are read several times.  Rounds
+end once every node hangs under a root.  Nothing is collected but two flags and a
+number of edges per round.
 """
 
 from __future__ import annotations
@@ -17,28 +20,30 @@ from pyspark.sql import functions as F
 from grainfold.plans.workspace import Workspace, dropped_shuffles
 
 
-#: Tasks that the edges of one node are dealt to, and so copies of each node's minimum.
-SALTS = 8
+#: Tasks that the edges of a hub are dealt to, and so copies of its minimum; a hub has more than 1 / HUBS of all edges.
+SALTS, HUBS = 8, 1000
 
 
-def _with_least(e: DataFrame, end: str, how: str) -> DataFrame:
-    """The edges with m: the least smaller neighbour of the node at ``end``."""
-    low = e.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-    low = low.withColumn("t", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
-    salted = e.withColumn("s", F.pmod(F.hash("u", "v"), F.lit(SALTS)))
+def _with_least(e: DataFrame, end: str, how: str, most: int) -> DataFrame:
+    """The edges with m: the least smaller neighbour of the node at ``end``, which is a hub if more than ``most`` edges have it there."""
+    hubs = e.groupBy(F.col(end).alias("h")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select("h")
+    own = lambda df, node: df.join(F.broadcast(hubs), F.col(node) == F.col("h"), "left")
+    low = own(e.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")), "n")
+    low = low.select("n", "m", F.explode(F.when(F.col("h").isNull(), F.array(F.lit(0))).otherwise(F.array(*[F.lit(k) for k in range(SALTS)]))).alias("t"))
+    salted = own(e, end).select("u", "v", F.when(F.col("h").isNull(), F.lit(0)).otherwise(F.pmod(F.hash("u", "v"), F.lit(SALTS))).alias("s"))
     return salted.join(low, (F.col(end) == F.col("n")) & (F.col("s") == F.col("t")), how).select("u", "v", "m")
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, most: int) -> DataFrame:
     """Larger neighbours of every node move to the least node it knows (u > v in every edge, so only v has any)."""
-    return _with_least(e, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+    return _with_least(e, "v", "left", most).select("u", F.coalesce("m", "v").alias("v"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, most: int) -> DataFrame:
     """A node's smaller neighbours, and itself, move to the least of them."""
-    e = _with_least(e, "u", "inner")
-    moved = e.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionAll(e.select("u", F.col("m").alias("v"))).distinct()
+    e = _with_least(e, "u", "inner", most)
+    moved = F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m")))  # in one pass, as e is not written
+    return e.select(moved.alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct()
 
 
 def _settled(e: DataFrame) -> bool:
@@ -61,9 +66,12 @@ def connected_components(edges: DataFrame, ws: Workspace, src: str = "src", dst:
     for k in range(1, max_rounds + 1):
         if _settled(cur):
             break
-        cur = ws.write(_small_star(_large_star(cur)), f"{name}-{k}")
+        most = max(1, cur.count() // HUBS)
+        large = ws.write(_large_star(cur, most), f"{name}-large")
         ws.drop(f"{name}-{k - 1}")
+        cur = ws.write(_small_star(large, most), f"{name}-{k}")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    ws.drop(f"{name}-large")
     pairs = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.unionAll(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

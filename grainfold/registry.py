@@ -29,8 +29,9 @@ def _coded(spark: SparkSession, sf: str, *names: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf: str, *names: str) -> DataFrame:
     """``names`` of the catalog scored and grouped, written once.  Rows travel with their own scores, not with what these are made of, and only with what is asked for."""
-    p = _coded(spark, sf)
-    own = scoring.own_scores(p).select("ord", "path", F.col("quality.sharpness_raw").alias("__s"), "exposure", "resolution", "aesthetic", "face_bonus")
+    path = [c for c in names if c == "path"]
+    p = _coded(spark, sf, "ord", *path, "capture_s", "quality", "width", "height", "aesthetic_mean", "faces")
+    own = scoring.own_scores(p).select("ord", *path, F.col("quality.sharpness_raw").alias("__s"), "exposure", "resolution", "aesthetic", "face_bonus")
     scores = scoring.rescore(scoring.midpoint_percentile(own, "__s", "sharpness"), X.Weights()).drop("__s")
     grouped = grouping.add_groups(scores.select("ord", *(c for c in names if c not in ("ord", "duplicate_group"))), grouping.duplicate_groups(p))
     return Workspace(spark, "catalog").write(grouped, "scored")

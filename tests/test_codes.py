@@ -182,3 +182,38 @@ def test_scored_rows_travel_with_what_is_asked_for(spark, tmp_path, monkeypatch)
             if n.nodeName().startswith("Exchange"):
                 wide |= {x.split("#")[0] for x in n.output().mkString(" ").split()}
         assert "composite_score" in wide and not wide & {"quality", "faces", "path", "width", "height", "aesthetic_mean"}
+
+
+def test_codes_of_texts_met_once_are_not_shuffled(spark):
+    texts = [(k, " ".join(f"w{k}-{j}" for j in range(30 * k))) for k in range(9)]
+    df = spark.createDataFrame(texts, "ord long, text string")
+    assert shuffled_rows(spark, grouping.text_grid_hash(df)) == []
+    again = spark.createDataFrame([*texts, (99, "a"), (99, "b")], "ord long, text string")  # one ord twice: counts of all rows are added up
+    got = {r["ord"]: r["perceptual_hash"] for r in grouping.text_grid_hash(again).collect()}
+    assert got.pop(99) is not None and got == {r["ord"]: r["perceptual_hash"] for r in grouping.text_grid_hash(df).collect()}
+
+
+def test_rounds_of_components_copy_no_minima_but_those_of_hubs(spark, tmp_path, monkeypatch):
+    import random
+
+    from grainfold.plans import components as cc
+    from grainfold.plans.workspace import Workspace
+
+    rng = random.Random(5)
+    n = 600
+    edges = [(k, k + 1) for k in range(300, 450)] + [(7, k) for k in range(500, n)] + [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
+    want = components(n, edges)
+    for hubs in (2, 1000):  # with 2, no node but 7 has as many edges; with 1000, all are hubs that have two
+        monkeypatch.setattr(cc, "HUBS", hubs)
+        df = spark.createDataFrame(edges, "src long, dst long")
+        got = cc.connected_components(df, Workspace(spark, f"hubs{hubs}")).collect()
+        assert len(got) == len({x for a, b in edges if a != b for x in (a, b)}) and all(want[r["node"]] == r["component"] for r in got)
+    path = spark.createDataFrame([(k + 1, k) for k in range(2000)], "u long, v long")
+    path.write.parquet(f"{tmp_path}/path")
+    path = spark.read.parquet(f"{tmp_path}/path")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert sum(shuffled_rows(spark, cc._large_star(path, 2))) < 5 * 2000  # minima 8 times over would be 16,000 rows more
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
